@@ -56,6 +56,22 @@ def _level(held: list[int], extra: int) -> list[int]:
     raise AssertionError("unreachable")
 
 
+def _fill(pool: DataFrame, room: list[int]) -> DataFrame:
+    """Gives each row the shard in whose room the running sum of sizes falls."""
+    sums = running_offsets(pool.groupBy("_b").agg(F.sum("size").alias("w")), [], "_b", "w", "before").select("_b", "before")
+    inside = Window.partitionBy("_b").orderBy("doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    pool = pool.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, "_b")
+    at, ends, end = F.col("before") + F.col("_in"), [], 0
+    for s, r in enumerate(room):
+        end += r
+        if r:
+            ends.append((s, end))
+    where = F.lit(ends[-1][0])
+    for s, e in reversed(ends):
+        where = F.when(at < e, F.lit(s)).otherwise(where)
+    return pool.withColumn("shard", where.cast("int"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 3) -> DataFrame:
     """doc_id, size, text_crc32, text_key, shard, slot, linked (has a neighbour)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -102,22 +118,23 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 3) -> DataF
     kept = linked.where(stays).select(*cols, "shard", F.lit(True).alias("linked"))
     pool = singles.withColumn("linked", F.lit(False)).unionByName(linked.where(~stays).select(*cols).withColumn("linked", F.lit(True)))
 
-    held = _by_shard(kept, shards)
-    room = _level(held, int(total) - sum(held))
+    # Large documents first, small ones last: the shards differ by a small document at most.
     bucket = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(n_buckets)).cast("int")
-    pool = pool.withColumn("_b", bucket)
-    sums = running_offsets(pool.groupBy("_b").agg(F.sum("size").alias("w")), [], "_b", "w", "before").select("_b", "before")
-    inside = Window.partitionBy("_b").orderBy("doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    pool = pool.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, "_b")
-    at, ends, end = F.col("before") + F.col("_in"), [], 0
-    for s in range(shards):
-        end += room[s]
-        ends.append((s, end))
-    where = F.lit(ends[-1][0])
-    for s, e in reversed(ends):
-        if room[s]:
-            where = F.when(at < e, F.lit(s)).otherwise(where)
-    placed = kept.unionByName(pool.select(*cols, where.cast("int").alias("shard"), "linked"))
+    pool = written(pool.withColumn("_b", bucket), "pool")
+    held, mean, placed = _by_shard(kept, shards), total / max(rows, 1), kept
+    bands = [(mean, None), (mean / 8, mean), (None, mean / 8)]
+    for low, high in bands:
+        part = pool
+        if low is not None:
+            part = part.where(F.col("size") > low)
+        if high is not None:
+            part = part.where(F.col("size") <= high)
+        extra = int(part.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0])
+        if not extra:
+            continue
+        dealt = written(_fill(part, _level(held, extra)).select(*cols, "shard", "linked"), "dealt")
+        placed = placed.unionByName(dealt)
+        held = [x + y for x, y in zip(held, _by_shard(dealt, shards), strict=True)]
     placed = placed.withColumn("_b", bucket)
     return global_row_number(placed, "slot", ["doc_id", "text_key"], ["shard"]).drop("_b")
 
