@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import sharding
+from edgeloom.llm import sharding, token_files
 
 QUERIES = {
+    "op6_token_files": token_files.query,
     "op9_sharding": sharding.query,
 }
 ORACLE_SQL: dict[str, str] = {}
