@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import sharding, token_files
+from edgeloom.llm import sharding, simhash, token_files
 
 QUERIES = {
+    "op3_simhash": simhash.query,
     "op6_token_files": token_files.query,
     "op9_sharding": sharding.query,
 }
