@@ -1,9 +1,9 @@
 """Token ids of whole texts by the ``tokenizers`` library, with each distinct segment encoded once.
 
 A byte-level BPE never merges across the segments that its own pattern cuts.
-Runs of non-space characters, each with at most one space before it, and the
-white space between them are unions of such segments, so a text's ids are its
-segments' ids in a row. Words repeat, so a worker keeps the ids of the segments
+Runs of non-space characters, each with at most one space before it (cut once
+more behind a leading word of Latin letters), and the white space between them
+are unions of such segments, so a text's ids are its segments' ids in a row. Words repeat, so a worker keeps the ids of the segments
 it has met lately (two generations of up to ``KEPT``). Texts with the few control
 characters on which the two libraries' ideas of white space differ are encoded
 whole.
@@ -16,8 +16,8 @@ import re
 
 import numpy as np
 
-KEPT = 500_000
-_SEGMENT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+KEPT = 900_000
+_SEGMENT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-@\[-`{-~]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 

@@ -179,7 +179,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     start = part["start"].to_numpy() + row["first_token"]
                     yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(start), part["n_tokens"], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = manifest.select("part", "root", "path", "first_token").repartition("part")
+    spread = manifest.select("part", "root", "path", "first_token").repartition(max(1, manifest.count()), "part")
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
