@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import sharding, simhash, token_files
+from edgeloom.llm import sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op3_simhash": simhash.query,
     "op6_token_files": token_files.query,
+    "op8_toxicity": toxicity.query,
     "op9_sharding": sharding.query,
 }
 ORACLE_SQL: dict[str, str] = {}
