@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import sharding, simhash, token_files, toxicity
+from edgeloom.llm import language, sharding, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_language": language.query,
     "op3_simhash": simhash.query,
     "op6_token_files": token_files.query,
     "op8_toxicity": toxicity.query,
