@@ -36,8 +36,9 @@ def _mark(edges: DataFrame):
 def connected_components(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """id, comp for every vertex of ``links`` (longs; direction, loops, nulls and repeats do not matter)."""
     raw = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
+    raw = written(raw.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     alone = raw.where("a = b").select(F.col("a").alias("id"))
-    edges = written(raw.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = raw.where("a <> b")
     mark = _mark(edges)
     for _ in range(MAX_ROUNDS):
         turned = written(_small_star(_large_star(edges)), "star")
