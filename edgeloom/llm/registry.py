@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import language, sharding, simhash, token_files, toxicity
+from edgeloom.llm import html_text, language, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_language": language.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_token_files": token_files.query,
     "op8_toxicity": toxicity.query,
     "op9_sharding": sharding.query,
+    "op10_html_text": html_text.query,
 }
 ORACLE_SQL: dict[str, str] = {}
