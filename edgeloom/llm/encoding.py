@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 
-KEPT = 900_000
+KEPT = 600_000
 _SEGMENT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-@\[-`{-~]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
