@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.ngrams import buffers, hashed, held_out
 
-PER_LABEL = (4000, 1500)
+PER_LABEL = (3000, 1200)
 ORDERS = (3, 4, 5)
 BITS = 18
 DIMS = 8
+COMMON = 0.3  # n-grams of more than this share of the rows tell no labels apart
 STEPS = 60
 RATE = 0.05
 SCALE = 100.0
@@ -66,30 +67,36 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
     y = np.array(labels, np.float64)
     size = 1 << BITS
     sampled = float(y.mean()) if len(y) else 0.0
-    if not len(y) or sampled in (0.0, 1.0):
+    if sampled in (0.0, 1.0):
         p = min(max(sampled if share is None else share, 1e-6), 1 - 1e-6)
         return {"table": np.zeros(size, np.float32), "bias": float(np.log(p / (1 - p)))}
-    cols, vals, rows = [], [], [0]
+    cols, vals = [], []
     for ids, counts in _bags(texts):
         cols.append(ids.astype(np.int32))
         vals.append((counts / (NEUTRAL + counts.sum()) * SCALE).astype(np.float32))
-        rows.append(rows[-1] + len(ids))
+    seen = np.zeros(size, np.int32)
+    for ids in cols:
+        seen[ids] += 1
+    used = np.flatnonzero((seen >= 3) & (seen <= COMMON * len(y)))
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used))
+    cols = [place[ids] for ids in cols]
+    vals = [v[c >= 0] for v, c in zip(vals, cols, strict=True)]
+    cols = [c[c >= 0] for c in cols]
+    n, m = len(y), len(used)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cols])
     col, val = np.concatenate(cols), np.concatenate(vals)
     del cols, vals
-    often = np.bincount(col, minlength=size) >= 3
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(rows))
-    keep = often[col]
-    col, val, doc = col[keep], val[keep], doc[keep]
-    used, col = np.unique(col, return_inverse=True)
-    n, m = len(y), len(used)
-    by_col = np.argsort(col, kind="stable")
-    col_t, doc_t, val_t = col[by_col], doc[by_col], val[by_col]
+    by_col = np.argsort(col, kind="stable").astype(np.int32)
+    col_t = col[by_col]
     doc_at, col_at = np.searchsorted(doc, np.arange(n)), np.searchsorted(col_t, np.arange(m))
-    full = np.append(np.diff(doc_at), len(doc) - doc_at[-1]) > 0
+    del col_t
+    full = np.diff(np.append(doc_at, len(doc))) > 0
+    doc_at = doc_at[full]
 
     def by_doc(x):  # mean of x over each text's n-grams
         out = np.zeros(n)
-        out[full] = np.add.reduceat(val * x[col], doc_at[full])
+        out[full] = np.add.reduceat(val * x[col], doc_at)
         return out
 
     rng = np.random.default_rng(seed)
@@ -102,7 +109,7 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
         p = np.exp(logits)
         p /= p.sum(1, keepdims=True)
         g = (p - np.stack([1 - y, y], 1)) / n
-        up = np.stack([np.add.reduceat(val_t * g[doc_t, k].astype(np.float32), col_at) for k in range(2)], 1)
+        up = np.stack([np.add.reduceat((val * g[doc, k].astype(np.float32))[by_col], col_at) for k in range(2)], 1)
         grads = [up @ soft.T, emb.T @ up, g.sum(0)]
         for q, d, a, b in zip(params, grads, first, second, strict=True):
             a += 0.1 * (d - a)
