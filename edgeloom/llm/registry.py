@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import html_text, language, sharding, simhash, token_files, toxicity
+from edgeloom.llm import html_text, language, packing, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_language": language.query,
+    "op2_packing": packing.query,
     "op3_simhash": simhash.query,
     "op6_token_files": token_files.query,
     "op8_toxicity": toxicity.query,
