@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import html_text, language, packing, sharding, simhash, token_files, toxicity
+from edgeloom.llm import html_text, language, merkle, packing, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_language": language.query,
     "op2_packing": packing.query,
     "op3_simhash": simhash.query,
+    "op5_merkle": merkle.query,
     "op6_token_files": token_files.query,
     "op8_toxicity": toxicity.query,
     "op9_sharding": sharding.query,
     "op10_html_text": html_text.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_merkle": merkle.ORACLE_SQL,
+}
