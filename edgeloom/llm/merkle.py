@@ -37,7 +37,7 @@ def _short(c: Column, n: int) -> Column:
 def _tree(text: Column) -> Column:
     """Leaf hashes of each paragraph."""
     marked = F.regexp_replace(text, r"([^ \t\n]{48})", f"$1{CUT}")
-    marked = F.regexp_replace(marked, r"([nr.,;:!?|])[ \t]+", f"$1{CUT}")
+    marked = F.regexp_replace(marked, r"([nrtdNRTD.,;:!?|&%$#*])[ \t]+", f"$1{CUT}")
     return F.transform(F.split(marked, "\n", -1), lambda p: F.array_join(F.transform(F.split(p, CUT, -1), lambda x: _short(x, 6)), ","))
 
 
@@ -109,7 +109,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql_fingerprint(text: str) -> str:
-    marked = rf"regexp_replace(regexp_replace({text}, '([^ \t\n]{{48}})', '\1' || chr(1), 'g'), '([nr.,;:!?|])[ \t]+', '\1' || chr(1), 'g')"
+    marked = rf"regexp_replace(regexp_replace({text}, '([^ \t\n]{{48}})', '\1' || chr(1), 'g'), '([nrtdNRTD.,;:!?|&%$#*])[ \t]+', '\1' || chr(1), 'g')"
     tree = f"list_transform(string_split({marked}, chr(10)), lambda p: list_aggregate(list_transform(string_split(p, chr(1)), lambda x: substring(md5(x), 1, 6)), 'string_agg', ','))"
     return tree
 
