@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import html_text, language, merkle, packing, sharding, simhash, token_files, toxicity
+from edgeloom.llm import decontaminate, html_text, language, merkle, packing, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_language": language.query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op5_merkle": merkle.query,
     "op6_token_files": token_files.query,
+    "op7_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_sharding": sharding.query,
     "op10_html_text": html_text.query,
 }
 ORACLE_SQL = {
     "op5_merkle": merkle.ORACLE_SQL,
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
