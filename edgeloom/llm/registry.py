@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from edgeloom.llm import decontaminate, html_text, language, merkle, packing, sharding, simhash, token_files, toxicity
+from edgeloom.llm import decontaminate, html_text, language, merkle, packing, sharding, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_language": language.query,
     "op2_packing": packing.query,
     "op3_simhash": simhash.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_merkle": merkle.query,
     "op6_token_files": token_files.query,
     "op7_decontaminate": decontaminate.query,
