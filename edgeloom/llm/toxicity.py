@@ -144,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> dict:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     wanted = [min(1.0, 1.25 * PER_LABEL[k] / max(1, counts.get(k, 0))) for k in (0, 1)]
     picked = marks.where(draw < F.when(F.col("y") == 1, wanted[1]).otherwise(wanted[0]))
-    rows = docs.where(open_rows & F.col("text").isNotNull()).select("doc_id", "text").join(picked, "doc_id").withColumn("draw", draw)
+    rows = docs.where(open_rows & F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("draw", draw)  # picked: about 1.25 PER_LABEL rows
     rows = rows.toPandas().sort_values(["draw", "doc_id", "text"], kind="stable")  # bounded: see wanted
     rows = pd.concat([rows[rows["y"] == k].head(PER_LABEL[k]) for k in (0, 1)])
     known = counts.get(0, 0) + counts.get(1, 0)
