@@ -4,8 +4,10 @@ Documents are encoded once and cut at multiples of the sequence length; what
 is left of each is a piece of less than a sequence. The pieces' lengths, in
 steps of ``GRAIN`` tokens, form a histogram with at most LENGTH / GRAIN bars,
 whatever the input. A linear program over patterns (multisets of lengths that
-fit one sequence) covers it: a revised simplex holds the basis, a knapsack
-dynamic program prices new columns, and it ends when Farley's bound says that
+fit one sequence) covers it: a revised simplex starts from the patterns of
+first-fit decreasing and holds the basis, a knapsack
+dynamic program prices further columns, and it ends when the area bound or
+Farley's bound says that
 at most ``GAP`` is left to gain. Patterns are rounded down, then up as long as
 their lengths are still there; pieces are ranked within their length (per-task
 counters plus a running sum over tasks) and rank ranges are mapped to pattern
@@ -36,50 +38,74 @@ GAP = 2e-4
 END_ID = 1
 
 
-def best_pattern(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes that fits (unbounded knapsack)."""
+def knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best value of a multiset of sizes (ascending) for each room up to ``room``; the item taken last there, -1 for none."""
     best, taken = np.zeros(room + 1), np.full(room + 1, -1)
-    order = np.argsort(size, kind="stable")
-    s, v = size[order], value[order]
-    fits = np.searchsorted(s, np.arange(room + 1), side="right")
+    fits = np.searchsorted(size, np.arange(room + 1), side="right").tolist()
     for cap in range(1, room + 1):
         best[cap] = best[cap - 1]
         k = fits[cap]
         if k:
-            got = v[:k] + best[cap - s[:k]]
-            i = int(got.argmax())
+            got = value[:k] + best[cap - size[:k]]
+            i = got.argmax()
             if got[i] > best[cap] + 1e-12:
                 best[cap], taken[cap] = got[i], i
+    return best, taken
+
+
+def pattern_from(taken: np.ndarray, size: np.ndarray, room: int, with_item: int = -1) -> np.ndarray:
     pattern, cap = np.zeros(len(size), np.int64), room
+    if with_item >= 0:
+        pattern[with_item] += 1
+        cap -= int(size[with_item])
     while cap > 0:
-        if taken[cap] < 0:
+        i = taken[cap]
+        if i < 0:
             cap -= 1
         else:
-            pattern[order[taken[cap]]] += 1
-            cap -= int(s[taken[cap]])
-    return float(best[room]), pattern
-
-
-def solve_patterns(size: np.ndarray, need: np.ndarray, room: int, gap: float = GAP, most: int = 20_000) -> list[tuple[np.ndarray, float]]:
+            pattern[i] += 1
+            cap -= int(size[i])
+    return pattern
+
+
+def first_fit(size: np.ndarray, need: np.ndarray, room: int) -> list[np.ndarray]:
+    """Patterns of first-fit decreasing over the histogram, the columns to begin with."""
+    left, out = need.astype(np.int64).copy(), []
+    while left.any():
+        pattern, free = np.zeros(len(size), np.int64), room
+        for i in range(len(size) - 1, -1, -1):
+            if left[i] and size[i] <= free:
+                pattern[i] = min(int(left[i]), free // int(size[i]))
+                free -= int(pattern[i]) * int(size[i])
+        used = pattern > 0
+        left -= pattern * int((left[used] // pattern[used]).min())
+        out.append(pattern)
+    return out
+
+
+def solve_patterns(size: np.ndarray, need: np.ndarray, room: int, gap: float = GAP, most: int = 2000) -> list[tuple[np.ndarray, float]]:
     """(pattern, times) of a linear program that covers ``need`` with the fewest sequences, within ``gap``."""
-    m = len(size)
+    m, floor = len(size), float((size * need).sum()) / room
     patterns = [np.eye(m, dtype=np.int64)[i] * (room // size[i]) for i in range(m)]
     inverse = np.diag([1.0 / p.max() for p in patterns])
-    times = inverse @ need
-    for step in range(1, most + 1):
+    times, ready, pivots = inverse @ need, first_fit(size, need, room)[::-1], 0
+    while pivots < most and times.sum() > floor * (1 + gap):
         prices = inverse.sum(0)
-        worth, column = best_pattern(prices, size, room)
+        column = ready.pop() if ready else pattern_from(knapsack(prices, size, room)[1], size, room)
+        worth = float(prices @ column)
         if worth <= 1 + gap:
+            if ready:
+                continue
             break
         move = inverse @ column
         up = move > 1e-9
-        ratio = np.where(up, times / np.where(up, move, 1), np.inf)
-        out = int(ratio.argmin())
+        out = int(np.where(up, times / np.where(up, move, 1), np.inf).argmin())
         patterns[out] = column
         row = inverse[out] / move[out]
         inverse -= np.outer(move, row)
         inverse[out] = row
-        if step % 400 == 0:
+        pivots += 1
+        if pivots % 300 == 0:
             inverse = np.linalg.inv(np.stack(patterns, 1).astype(float))
         times = np.maximum(inverse @ need, 0)
     return list(zip(patterns, times.tolist(), strict=True))
@@ -173,28 +199,28 @@ def pack(docs: DataFrame, carry=None, tokenizer: str | None = None, end_id: int
     plan = spark.createDataFrame(table, "kind int, given long, froms array<long>, firsts array<long>, copies array<long>")
 
     before = running_offsets(counts, ["kind"], "part", "n", "before").select("part", "kind", "before")
-    ranked = pieces.join(before, ["part", "kind"]).withColumn("rank", F.col("nth") + F.col("before")).join(F.broadcast(plan), "kind")  # plan: at most room rows
     cols = ["doc_id", "start", "length", "doc_tokens"]
+    narrow = pieces.select("part", "kind", "nth", *cols, *carry(F.col("ids")))
+    carried = [c for c in narrow.columns if c not in ("part", "kind", "nth", *cols)]
+    ranked = narrow.join(before, ["part", "kind"]).withColumn("rank", F.col("nth") + F.col("before")).join(F.broadcast(plan), "kind")  # plan: at most room rows
 
     which = F.size(F.filter("froms", lambda x: x <= F.col("rank")))
     seq = F.element_at("firsts", which) + F.floor((F.col("rank") - F.element_at("froms", which)) / F.element_at("copies", which))
-    placed = ranked.where("rank < given").select(*cols, *carry(F.col("ids")), seq.cast("long").alias("sequence_id"), "kind", "rank")
-    carried = [c for c in placed.columns if c not in (*cols, "sequence_id", "kind", "rank")]
+    placed = ranked.where("rank < given").select(*cols, *carried, seq.cast("long").alias("sequence_id"), "kind", "rank")
     behind = Window.partitionBy("sequence_id").orderBy(F.desc("kind"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(behind), F.lit(0)).cast("long"))
 
     # The rest: fewer pieces than the patterns of one basis hold. They fill sequences in turn.
-    rest = ranked.where("rank >= given")
     cuts, at = [], 0
-    for r in rest.select("kind", "rank", "length").orderBy(F.desc("kind"), "rank").collect():
+    for r in ranked.where("rank >= given").select("part", "kind", "nth", "rank", "length").orderBy(F.desc("kind"), "rank").collect():
         done = 0
         while done < r["length"]:
             take = min(r["length"] - done, length - at % length)
-            cuts.append((r["kind"], r["rank"], done, take, sequence + at // length, at % length))
+            cuts.append((r["part"], r["kind"], r["nth"], done, take, sequence + at // length, at % length))
             done, at = done + take, at + take
-    cut = spark.createDataFrame(cuts, "kind int, rank long, skip long, take long, sequence_id long, offset long")
+    cut = spark.createDataFrame(cuts, "part int, kind int, nth long, skip long, take long, sequence_id long, offset long")
     part_ids = F.expr("substring(ids, cast(4 * skip + 1 as int), cast(4 * take as int))")
-    filled = rest.join(F.broadcast(cut), ["kind", "rank"]).select("doc_id", (F.col("start") + F.col("skip")).alias("start"), F.col("take").alias("length"), "doc_tokens", *carry(part_ids), "sequence_id", "offset")
+    filled = pieces.join(F.broadcast(cut), ["part", "kind", "nth"]).select("doc_id", (F.col("start") + F.col("skip")).alias("start"), F.col("take").alias("length"), "doc_tokens", *carry(part_ids), "sequence_id", "offset")
     return placed.select(*cols, *carried, "sequence_id", "offset").unionByName(filled)
 
 
