@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from edgeloom.llm import decontaminate, html_text, language, merkle, packing, sharding, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
@@ -15,8 +16,11 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_sharding": sharding.query,
     "op10_html_text": html_text.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op5_merkle": merkle.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -228,7 +228,7 @@ def _share(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(cat(out_i, np.int64)), "hash": pa.array(cat(out_h, _U).view(np.int64))})
 
 
-_CANDIDATE = "kind int, doc_id long, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, bucket long, ids binary, rks binary, places binary, masks binary, around binary, place long, mask long"
+_CANDIDATE = "kind int, doc_id long, extra string, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, bucket long, ids binary, rks binary, places binary, masks binary, around binary, place long, mask long"
 _FIELDS = [f.split() for f in _CANDIDATE.split(", ")]
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
@@ -245,22 +245,22 @@ def _candidates(buckets: int, keep: bool):
     def run(batches):
         for batch in batches:
             texts, ids, rks = _raw(batch), batch["id"].to_numpy(), batch["rk"].to_numpy()
-            docs, copies, hits = batch["doc_id"].to_pylist(), batch["copies"].to_pylist(), batch["hashes"]
+            docs, copies, hits, extra = batch["doc_id"].to_pylist(), batch["copies"].to_pylist(), batch["hashes"], batch["extra"].to_pylist()
             done, wait = [], []
             for i, raw in enumerate(texts):
                 if copies[i] and hashlib.md5(raw).hexdigest() in copies[i] and len(raw) >= LENGTH:
-                    done.append((docs[i], rks[i], len(raw), len(raw), 1, b""))
+                    done.append((docs[i], extra[i], rks[i], len(raw), len(raw), 1, b""))
                 elif hits[i].is_valid and len(raw) >= LENGTH:
                     wait.append(i)
                 else:
-                    done.append((docs[i], rks[i], len(raw), 0, 0, raw))
+                    done.append((docs[i], extra[i], rks[i], len(raw), 0, 0, raw))
             for at in range(0, len(done), 500):
-                d, r, n, gone, spans, kept = zip(*done[at : at + 500], strict=True)
+                d, e, r, n, gone, spans, kept = zip(*done[at : at + 500], strict=True)
                 more = {"kept": kept} if keep else {}
-                yield _rows(0, doc_id=d, rk=r, n_bytes=n, n_removed=gone, n_spans=spans, kept_sha256=[hashlib.sha256(k).hexdigest() for k in kept], **more)
+                yield _rows(0, doc_id=d, extra=e, rk=r, n_bytes=n, n_removed=gone, n_spans=spans, kept_sha256=[hashlib.sha256(k).hexdigest() for k in kept], **more)
             for at in range(0, len(wait), 500):
                 some = wait[at : at + 500]
-                yield _rows(3, doc_id=[docs[i] for i in some], rk=rks[some], kept=[texts[i] for i in some])
+                yield _rows(3, doc_id=[docs[i] for i in some], extra=[extra[i] for i in some], rk=rks[some], kept=[texts[i] for i in some])
             wanted = {i: np.unique(hits[i].values.to_numpy(zero_copy_only=False)).view(_U) for i in wait}
             for chunk in _chunks([texts[i] if i in wanted else b"" for i in range(len(texts))]):
                 at, hashes, low = anchors(chunk)
@@ -344,9 +344,9 @@ def _cut(keep: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                out: list[list] = [[], [], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], [], []]
                 marks = part["marks"]
-                for i, (doc, rk, raw) in enumerate(zip(part["doc_id"].to_pylist(), part["rk"].to_pylist(), _raw(part, "kept"), strict=True)):
+                for i, (doc, extra, rk, raw) in enumerate(zip(part["doc_id"].to_pylist(), part["extra"].to_pylist(), part["rk"].to_pylist(), _raw(part, "kept"), strict=True)):
                     step = np.zeros(len(raw) + 1, np.int64)
                     if marks[i].is_valid:
                         found = marks[i].values
@@ -358,19 +358,23 @@ def _cut(keep: bool):
                     gone = np.cumsum(step[:-1]) > 0
                     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                    for column, v in zip(out, (doc, rk, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep else None), strict=True):
+                    for column, v in zip(out, (doc, extra, rk, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore").encode() if keep else None), strict=True):
                         column.append(v)
-                kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "rk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "extra", "rk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
-    """doc_id, rk (a hash of doc_id and text), n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay, null without keep_bytes)."""
+def remove_repeats(docs: DataFrame, keep_bytes: bool = True, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, extra, rk (a hash of doc_id and text), n_bytes, n_removed, n_spans, kept_sha256, kept.
+
+    ``kept`` has the bytes that stay, less the parts of characters that were
+    cut through (null without ``keep_bytes``); ``extra`` the named columns as JSON.
+    """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX)).alias("id"))
+    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX)).alias("id"), (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
     keys = written(base.select("id", F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").alias("n")), "texts")
     total = keys.agg(F.sum("n")).head()[0] or 0
     buckets, meetings = max(1, total * 71 // 1000 // 250_000), max(1, total // 3_000_000)
@@ -382,17 +386,17 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     info = written(shared.join(copies, "id", "full_outer"), "shared")
 
     path = fresh_path(spark, "candidates")
-    joined = base.withColumn("rk", F.xxhash64("id", "text")).join(info, "id", "left").select("doc_id", "id", "rk", "text", "hashes", "copies")
+    joined = base.withColumn("rk", F.xxhash64("id", "text")).join(info, "id", "left").select("doc_id", "id", "rk", "text", "extra", "hashes", "copies")
     joined.mapInArrow(_candidates(meetings, keep_bytes), _CANDIDATE).write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(_CANDIDATE).parquet(path)
     answers = rows.where("kind = 1").select("bucket", "ids", "rks", "places", "masks", "around").groupBy("bucket").applyInArrow(_answer, "rk long, place long, mask long")
     marks = answers.unionByName(rows.where("kind = 2").select("rk", "place", "mask")).groupBy("rk").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
     marks = written(marks, "marks")
-    cols = ["doc_id", "rk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    cut = rows.where("kind = 3").select("doc_id", "rk", "kept").join(marks, "rk", "left").select("doc_id", "rk", "kept", "marks")
-    cut = cut.mapInArrow(_cut(keep_bytes), "doc_id long, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cols = ["doc_id", "extra", "rk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    cut = rows.where("kind = 3").select("doc_id", "extra", "rk", "kept").join(marks, "rk", "left").select("doc_id", "extra", "rk", "kept", "marks")
+    cut = cut.mapInArrow(_cut(keep_bytes), "doc_id long, extra string, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return rows.where("kind = 0").select(*cols).unionByName(cut)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_bytes=False).drop("rk", "kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_bytes=False).drop("rk", "kept", "extra")
