@@ -34,6 +34,14 @@ def written(df: DataFrame, tag: str = "stage") -> DataFrame:
     return out
 
 
+def written_by_key(df: DataFrame, key: str, buckets: int, tag: str = "keyed") -> DataFrame:
+    """``df`` as a table in the warehouse, bucketed by ``key``: joins on it move only their other side."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table from ``written`` that nothing reads any more."""
     path = getattr(df, "_edgeloom_path", None)
