@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.plans.durable import fresh_path, written
+from edgeloom.plans.durable import written, written_by_key
 
 LENGTH = 50
 GRAM = 24
@@ -228,7 +228,7 @@ def _share(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(cat(out_i, np.int64)), "hash": pa.array(cat(out_h, _U).view(np.int64))})
 
 
-_CANDIDATE = "kind int, doc_id long, extra string, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, bucket long, ids binary, rks binary, places binary, masks binary, around binary, place long, mask long"
+_CANDIDATE = "kind int, id long, doc_id long, extra string, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, bucket long, ids binary, rks binary, places binary, masks binary, around binary, place long, mask long"
 _FIELDS = [f.split() for f in _CANDIDATE.split(", ")]
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
@@ -249,38 +249,39 @@ def _candidates(buckets: int, keep: bool):
             done, wait = [], []
             for i, raw in enumerate(texts):
                 if copies[i] and hashlib.md5(raw).hexdigest() in copies[i] and len(raw) >= LENGTH:
-                    done.append((docs[i], extra[i], rks[i], len(raw), len(raw), 1, b""))
+                    done.append((ids[i], docs[i], extra[i], rks[i], len(raw), len(raw), 1, b""))
                 elif hits[i].is_valid and len(raw) >= LENGTH:
                     wait.append(i)
                 else:
-                    done.append((docs[i], extra[i], rks[i], len(raw), 0, 0, raw))
+                    done.append((ids[i], docs[i], extra[i], rks[i], len(raw), 0, 0, raw))
             for at in range(0, len(done), 500):
-                d, e, r, n, gone, spans, kept = zip(*done[at : at + 500], strict=True)
+                k, d, e, r, n, gone, spans, kept = zip(*done[at : at + 500], strict=True)
                 more = {"kept": kept} if keep else {}
-                yield _rows(0, doc_id=d, extra=e, rk=r, n_bytes=n, n_removed=gone, n_spans=spans, kept_sha256=[hashlib.sha256(k).hexdigest() for k in kept], **more)
+                yield _rows(0, id=k, doc_id=d, extra=e, rk=r, n_bytes=n, n_removed=gone, n_spans=spans, kept_sha256=[hashlib.sha256(b).hexdigest() for b in kept], **more)
             for at in range(0, len(wait), 500):
                 some = wait[at : at + 500]
-                yield _rows(3, doc_id=[docs[i] for i in some], extra=[extra[i] for i in some], rk=rks[some], kept=[texts[i] for i in some])
-            wanted = {i: np.unique(hits[i].values.to_numpy(zero_copy_only=False)).view(_U) for i in wait}
-            for chunk in _chunks([texts[i] if i in wanted else b"" for i in range(len(texts))]):
+                yield _rows(3, id=ids[some], doc_id=[docs[i] for i in some], extra=[extra[i] for i in some], rk=rks[some], kept=[texts[i] for i in some])
+            waits = set(wait)
+            wanted = np.concatenate([hits[i].values.to_numpy(zero_copy_only=False).view(_U) ^ _salt(i) for i in wait]) if wait else np.zeros(0, _U)
+            wanted = np.unique(wanted)
+            for chunk in _chunks([texts[i] if i in waits else b"" for i in range(len(texts))]):
                 at, hashes, low = anchors(chunk)
                 seg = np.searchsorted(chunk.starts, at, side="right") - 1
                 owner = chunk.owner[seg]
-                take = np.zeros(len(at), bool)
-                for i in np.unique(owner).tolist():
-                    mine = np.flatnonzero(owner == i) if len(chunk.owner) < 3 else slice(*np.searchsorted(owner, [i, i + 1]))
-                    take[mine] = np.isin(hashes[mine], wanted[i])
+                mine = hashes ^ _salt(owner)
+                take = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
                 at, hashes, seg, owner = at[take], hashes[take], seg[take], owner[take]
                 if not len(at):
                     continue
                 starts = at[:, None] - np.arange(SPAN - 1, -1, -1)[None, :]
                 own = (starts >= chunk.starts[seg][:, None]) & (low[np.maximum(starts, 0)] == hashes[:, None])
-                near = np.zeros(len(chunk.buf), bool)
-                for k in range(WIDE):
-                    near[np.clip(at - SPAN + 1 + k, 0, len(near) - 1)] = True
+                step = np.zeros(len(chunk.buf) + 1, np.int32)
+                np.add.at(step, np.maximum(at - SPAN + 1, 0), 1)
+                np.add.at(step, np.minimum(at - SPAN + 1 + WIDE, len(chunk.buf)), -1)
+                near = np.cumsum(step[:-1]) > 0
                 place = np.flatnonzero(near)
                 number = np.zeros(len(near), np.int64)
-                number[place] = _compact(chunk.buf, place)
+                number[place] = refined_buckets(chunk.buf[place])
                 where = np.unique(starts[own])
                 who = ids[chunk.owner[np.searchsorted(chunk.starts, where, side="right") - 1]]
                 lost = np.zeros(len(near), bool)
@@ -290,7 +291,7 @@ def _candidates(buckets: int, keep: bool):
                 found = (beaten * bits).sum(1)
                 local = at - chunk.starts[seg] + chunk.base[seg]
                 if found.any():
-                    yield _rows(2, rk=rks[owner[found > 0]], place=local[found > 0], mask=found[found > 0])
+                    yield _rows(2, id=ids[owner[found > 0]], rk=rks[owner[found > 0]], place=local[found > 0], mask=found[found > 0])
                 asks = ((own & ~beaten) * bits).sum(1)
                 ask = np.flatnonzero(asks)
                 if not len(ask):
@@ -317,26 +318,61 @@ def _candidates(buckets: int, keep: bool):
     return run
 
 
-def _compact(buf: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Refined buckets of the marked places alone; only windows of marked places count."""
-    return refined_buckets(buf[place])
+def _salt(i):
+    """Keeps the same hash of different texts apart."""
+    return (np.asarray(i).astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order, group starts in that order, and each row's group."""
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    group = np.empty(len(key), np.int64)
+    group[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+    return order, start, group
+
+
+def _digest(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    width = -(-rows.shape[1] // 8) * 8
+    wide = np.zeros((len(rows), width), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    out = np.full(len(rows), 0x9E3779B97F4A7C15, _U)
+    for w in wide.view(_U).T:
+        out = (out ^ w) * _U(0xD6E8FEB86659FD93)
+        out ^= out >> _U(32)
+    return out
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """rk, place, mask: windows of the questions that a smaller document also has."""
+    """id, rk, place, mask: windows of the questions that a smaller document also has.
+
+    Equal surroundings are taken together first; only surroundings whose
+    anchor has others are refined.
+    """
     cat = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
     ids, rks, places, masks = cat("ids", np.int64), cat("rks", np.int64), cat("places", np.int64), cat("masks", np.int32)
-    around = cat("around", np.uint8)
-    out = np.zeros(len(ids), np.int64)
-    if len(ids) > 1:
-        number = refined_buckets(np.concatenate([around, np.zeros(LENGTH, np.uint8)]))
-        own = (masks[:, None] >> np.arange(SPAN)[None, :]) & 1 > 0
-        where = np.arange(len(ids))[:, None] * WIDE + np.arange(SPAN)[None, :]
-        beaten = np.zeros(own.shape, bool)
-        beaten[own] = _beaten(number[where[own]], np.broadcast_to(ids[:, None], own.shape)[own])
-        out = (beaten * (1 << np.arange(SPAN, dtype=np.int64))[None, :]).sum(1)
+    around = cat("around", np.uint8).reshape(-1, WIDE)
+    key = _digest(around)
+    order, start, group = _groups(key)
+    if (around != around[order[start]][group]).any():  # two surroundings with one hash: take none together
+        order, start, group = np.arange(len(ids)), np.arange(len(ids)), np.arange(len(ids))
+    own = (masks[:, None] >> np.arange(SPAN)[None, :]) & 1 > 0
+    least = np.minimum.reduceat(np.where(own, ids[:, None], _MAX)[order], start, axis=0)
+    some = around[order[start]]
+    _, first, family = _groups(_digest(np.ascontiguousarray(some[:, SPAN - 1 : SPAN - 1 + GRAM])))
+    mixed = np.flatnonzero(np.diff(np.append(first, len(family)))[family] > 1)
+    if len(mixed):
+        number = refined_buckets(np.concatenate([some[mixed].ravel(), np.zeros(LENGTH, np.uint8)]))
+        live = least[mixed] < _MAX
+        where = (np.arange(len(mixed))[:, None] * WIDE + np.arange(SPAN)[None, :])[live]
+        by, begin, one = _groups(number[where])
+        found = least[mixed]
+        found[live] = np.minimum.reduceat(found[live][by], begin)[one]
+        least[mixed] = found
+    out = ((own & (least[group] < ids[:, None])) * (1 << np.arange(SPAN, dtype=np.int64))[None, :]).sum(1)
     hit = out > 0
-    return pa.table({"rk": pa.array(rks[hit]), "place": pa.array(places[hit]), "mask": pa.array(out[hit])})
+    return pa.table({"id": pa.array(ids[hit]), "rk": pa.array(rks[hit]), "place": pa.array(places[hit]), "mask": pa.array(out[hit])})
 
 
 def _cut(keep: bool):
@@ -350,7 +386,8 @@ def _cut(keep: bool):
                     step = np.zeros(len(raw) + 1, np.int64)
                     if marks[i].is_valid:
                         found = marks[i].values
-                        place, mask = found.field("place").to_numpy(zero_copy_only=False), found.field("mask").to_numpy(zero_copy_only=False)
+                        mine = found.field("rk").to_numpy(zero_copy_only=False) == rk
+                        place, mask = found.field("place").to_numpy(zero_copy_only=False)[mine], found.field("mask").to_numpy(zero_copy_only=False)[mine]
                         row, bit = np.nonzero((mask[:, None] >> np.arange(SPAN)[None, :]) & 1)
                         start = np.unique(place[row] - (SPAN - 1) + bit)
                         step[start] += 1
@@ -385,15 +422,14 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True, extra: list[str] |
     shared = sent.groupBy("bucket").applyInArrow(_share, "id long, hash long").groupBy("id").agg(F.collect_list("hash").alias("hashes"))
     info = written(shared.join(copies, "id", "full_outer"), "shared")
 
-    path = fresh_path(spark, "candidates")
     joined = base.withColumn("rk", F.xxhash64("id", "text")).join(info, "id", "left").select("doc_id", "id", "rk", "text", "extra", "hashes", "copies")
-    joined.mapInArrow(_candidates(meetings, keep_bytes), _CANDIDATE).write.option("compression", "zstd").parquet(path)
-    rows = spark.read.schema(_CANDIDATE).parquet(path)
-    answers = rows.where("kind = 1").select("bucket", "ids", "rks", "places", "masks", "around").groupBy("bucket").applyInArrow(_answer, "rk long, place long, mask long")
-    marks = answers.unionByName(rows.where("kind = 2").select("rk", "place", "mask")).groupBy("rk").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
-    marks = written(marks, "marks")
+    rows = written_by_key(joined.mapInArrow(_candidates(meetings, keep_bytes), _CANDIDATE), "id", int(spark.conf.get("spark.sql.shuffle.partitions")), "candidates")
+    asked = rows.where("kind = 1").select("bucket", "ids", "rks", "places", "masks", "around")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "id long, rk long, place long, mask long")
+    marks = answers.unionByName(rows.where("kind = 2").select("id", "rk", "place", "mask"))
+    marks = written(marks.groupBy("id").agg(F.collect_list(F.struct("rk", "place", "mask")).alias("marks")), "marks")
     cols = ["doc_id", "extra", "rk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    cut = rows.where("kind = 3").select("doc_id", "extra", "rk", "kept").join(marks, "rk", "left").select("doc_id", "extra", "rk", "kept", "marks")
+    cut = rows.where("kind = 3").select("id", "doc_id", "extra", "rk", "kept").join(marks, "id", "left").select("doc_id", "extra", "rk", "kept", "marks")
     cut = cut.mapInArrow(_cut(keep_bytes), "doc_id long, extra string, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return rows.where("kind = 0").select(*cols).unionByName(cut)
 
