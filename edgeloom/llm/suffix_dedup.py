@@ -43,8 +43,9 @@ LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # q-grams, and so window starts, per window
 WIDE = LENGTH + SPAN - 1  # bytes that an anchor's windows cover
-SEGMENT = 1 << 20
-CHUNK = 1 << 20
+SEGMENT = 1 << 19
+CHUNK = 1 << 19
+SLICE = 1000  # rows turned into Python objects at a time
 _MAX = (1 << 63) - 1
 _U = np.uint64
 
@@ -167,6 +168,12 @@ def _chunks(texts: list[bytes]):
         yield chunk.seal()
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _raw(batch, column: str = "text") -> list[bytes]:
     return [b or b"" for b in batch[column].cast(pa.binary()).to_pylist()]
 
@@ -176,7 +183,7 @@ def _emit_anchors(buckets: int):
 
     def run(batches):
         turn = 0
-        for batch in batches:
+        for batch in _slices(batches):
             texts, ids = _raw(batch), batch["id"].to_numpy()
             for chunk in _chunks(texts):
                 at, hashes, _ = anchors(chunk)
@@ -243,7 +250,7 @@ def _candidates(buckets: int, keep: bool):
     """Kinds of rows: 0 finished documents, 1 questions, 2 places found, 3 documents that wait for places."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             texts, ids, rks = _raw(batch), batch["id"].to_numpy(), batch["rk"].to_numpy()
             docs, copies, hits, extra = batch["doc_id"].to_pylist(), batch["copies"].to_pylist(), batch["hashes"], batch["extra"].to_pylist()
             done, wait = [], []
@@ -414,7 +421,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True, extra: list[str] |
     base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX)).alias("id"), (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
     keys = written(base.select("id", F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").alias("n")), "texts")
     total = keys.agg(F.sum("n")).head()[0] or 0
-    buckets, meetings = max(1, total * 71 // 1000 // 250_000), max(1, total // 3_000_000)
+    buckets, meetings = max(1, total * 71 // 1000 // 250_000), max(1, total // 1_500_000)
 
     first = keys.groupBy("md5").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("md5", "least")
     copies = keys.join(first, "md5").where("id > least").groupBy("id").agg(F.collect_set("md5").alias("copies"))
