@@ -1 +1,84 @@
+"""Scalar functions as Column expressions."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def struct_size(n: Column, m: Column) -> Column:
+    """Bytes of the edge and vertex arrays of a graph: 16 m + 24 n."""
+    return 16 * m + 24 * n
+
+
+def human_size(size: Column) -> Column:
+    """A byte count as text with two decimals and a unit to the base 1024; 0 is ``0B``."""
+    units = F.array(*[F.lit(u) for u in ("B", "KB", "MB", "GB", "TB", "PB", "EB")])
+    step = F.floor(F.log(size.cast("double")) / F.log(F.lit(1024.0)) + 1e-12).cast("int")
+    value = F.round(size / F.pow(F.lit(1024.0), step), 2)
+    return F.when(size == 0, F.lit("0B")).otherwise(F.concat(value.cast("string"), F.element_at(units, step + 1)))
+
+
+def parse_numeric(text: Column) -> Column:
+    """Numbers as people write them: blanks and commas inside, a typographic minus, a leading plus, ``x 10^k``."""
+    plain = F.regexp_replace(F.regexp_replace(text, "−", "-"), "[\\s ,+]", "")
+    base, power = F.regexp_extract(plain, r"^(-?[0-9]*\.?[0-9]+)", 1), F.regexp_extract(plain, r"(?:×|x|\*)10\^?(-?[0-9]+)$", 1)
+    number = F.when(base != "", base.cast("double")) * F.when(power != "", F.pow(F.lit(10.0), F.when(power != "", power).cast("double"))).otherwise(F.lit(1.0))
+    return F.when(F.lower(plain).isin("inf", "∞"), F.lit(float("inf"))).otherwise(number)
+
+
+def snake_label(text: Column) -> Column:
+    """Lower case, words joined by underscores, a leading number moved to the end; ``join`` becomes ``network_join``."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9]+", "_"), r"^_|_$", "")
+    lead = F.regexp_extract(plain, r"^([0-9]+)_?(.+)$", 1)
+    moved = F.when(lead != "", F.concat(F.regexp_extract(plain, r"^([0-9]+)_?(.+)$", 2), F.lit("_"), lead)).otherwise(plain)
+    return F.when(moved == "join", F.lit("network_join")).otherwise(moved)
+
+
+def critical_depth(threads: Column) -> Column:
+    """The smallest d with 4 ** d of at least ``threads``."""
+    return F.ceil(F.log(threads.cast("double")) / F.log(F.lit(4.0)) - 1e-12).cast("int")
+
+
+def next_multiple(n: Column, depth: int) -> Column:
+    """The smallest multiple of 2 ** depth that is at least n, in whole numbers."""
+    return ((n + ((1 << depth) - 1)) / (1 << depth)).cast("long") * (1 << depth)
+
+
+def choose(n: Column, k: int) -> Column:
+    top, bottom = F.lit(1.0), 1
+    for i in range(k):
+        top, bottom = top * (n - i), bottom * (i + 1)
+    return top / bottom
+
+
+def motif_constant(n: Column, name: str) -> Column:
+    """The most subgraphs of a kind that n vertices can hold."""
+    falling = n * (n - 1) * (n - 2)
+    return {
+        "wedge": falling / 2,
+        "triangle": choose(n, 3),
+        "star_4": n * choose(n - 1, 3),
+        "path_4": falling * (n - 3) / 2,
+        "tailed_triangle": 3 * (n - 3) * choose(n, 3),
+        "cycle_4": falling * (n - 3) / 4,
+        "chordal_cycle_4": falling * (n - 3) / 4 * 2,
+        "clique_4": choose(n, 4),
+        "clique_5": choose(n, 5),
+    }[name]
+
+
+def size_suffix(text: Column) -> Column:
+    """``32K``, ``1.5M``, ``2G`` in bytes."""
+    number, unit = F.regexp_extract(text, r"([0-9.]+)", 1).cast("double"), F.upper(F.regexp_extract(text, r"([KMGkmg])", 1))
+    return number * F.when(unit == "K", 1024).when(unit == "M", 1024**2).when(unit == "G", 1024**3).otherwise(1)
+
+
+def parent_folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+
+
+def rotated(cx: Column, cy: Column, angle: int, x: Column, y: Column) -> tuple[Column, Column]:
+    """A point turned about a centre by a multiple of 90 degrees."""
+    turns = {0: (x, y), 90: (cx - (y - cy), cy + (x - cx)), 180: (2 * cx - x, 2 * cy - y), 270: (cx + (y - cy), cy - (x - cx))}
+    return turns[angle % 360]

@@ -1 +1,117 @@
+"""Readers and writers of edge lists, orderings, catalogs and logs."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def parse_edge_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """src, dst of lines ``src dst [more]`` parted by blanks, tabs or commas; comment and broken lines go."""
+    text = F.col(column)
+    a, b = F.regexp_extract(text, r"^\s*([0-9]+)[\s,]+([0-9]+)", 1), F.regexp_extract(text, r"^\s*([0-9]+)[\s,]+([0-9]+)", 2)
+    return lines.where(~text.rlike(r"^\s*[%#]") & (a != "")).select(a.cast("long").alias("src"), b.cast("long").alias("dst"))
+
+
+def read_edge_text(spark: SparkSession, path: str) -> DataFrame:
+    """Text edge lists, plain or .gz / .bz2; large plain files are split."""
+    return parse_edge_lines(spark.read.text(path))
+
+
+def write_edge_text(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    edges.select(F.concat_ws(" ", "src", "dst")).write.mode(mode).text(path)
+
+
+def write_edges(edges: DataFrame, path: str, form: str = "bin", mode: str = "errorifexists") -> None:
+    """``bin``: Parquet; ``net``: text."""
+    if form == "net":
+        write_edge_text(edges, path, mode)
+    elif form == "bin":
+        edges.select("src", "dst").write.mode(mode).parquet(path)
+    else:
+        raise ValueError(f"unknown form: {form}")
+
+
+def read_edges(spark: SparkSession, path: str, form: str = "bin") -> DataFrame:
+    return read_edge_text(spark, path) if form == "net" else spark.read.parquet(path).select("src", "dst")
+
+
+def write_ordering(ordering: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    ordering.select("id", "new_id").write.mode(mode).parquet(path)
+
+
+def read_ordering_text(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ``id new_id``; lines of a single number (the counts at the head) are passed over."""
+    return parse_edge_lines(spark.read.text(path)).select(F.col("src").alias("id"), F.col("dst").alias("new_id"))
+
+
+def columns_in_text(lines: DataFrame, column: str = "value") -> DataFrame:
+    """n_columns: how many fields the first-sorted data lines have at most."""
+    data = lines.where(~F.col(column).rlike(r"^\s*[%#]") & (F.trim(column) != ""))
+    return data.agg(F.max(F.size(F.split(F.trim(column), r"\s+"))).alias("n_columns"))
+
+
+def pick_edge_file(spark: SparkSession, folder: str) -> str | None:
+    """The smallest file whose stem is ``out``, else the largest file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^/]*)?$", 1)
+    named = files.where(stem == "out").agg(F.min_by("path", "length")).head()[0]
+    return named or files.agg(F.max_by("path", "length")).head()[0]
+
+
+def read_tar(spark: SparkSession, path: str) -> DataFrame:
+    """name, content of the files in tar archives (.tar, .tar.gz, .tar.bz2), an archive per task."""
+    import io
+    import tarfile
+
+    import pyarrow as pa
+
+    def unpack(batches):
+        for batch in batches:
+            for raw in batch["content"].to_pylist():
+                with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
+                    for m in tar:
+                        if m.isfile():
+                            yield pa.RecordBatch.from_pydict({"name": [m.name], "content": pa.array([tar.extractfile(m).read()], pa.binary())})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "name string, content binary")
+
+
+def read_datasets_json(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """The rows of ``datasets`` in a JSON catalog, by name if asked."""
+    rows = spark.read.option("multiLine", "true").json(path).select(F.explode("datasets").alias("d")).select("d.*")
+    return rows.where(F.col("name").isin(*names)) if names else rows
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("append").option("header", "true").csv(path)
+
+
+def read_csv_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All CSV files below a folder; nothing is deleted."""
+    return spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true").csv(path)
+
+
+def href_edges(pages: DataFrame) -> DataFrame:
+    """page_id, href of every link in a page."""
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1)).alias("href"))
+
+
+def table_cells(pages: DataFrame, column: str = "html") -> DataFrame:
+    """page_id, row, cells: text of the cells of each table row."""
+    rows = F.posexplode(F.regexp_extract_all(column, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1))
+    cells = F.transform(F.regexp_extract_all("_row", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", "")))
+    return pages.select("page_id", rows.alias("row", "_row")).select("page_id", "row", cells.alias("cells"))
+
+
+def partition_log(logs: DataFrame) -> DataFrame:
+    """parts, objective, value of the lines ``#Parts: k ... - Edgecut: c, communication volume: v`` of partitioner logs."""
+    parts = F.regexp_extract("value", r"#Parts:\s*([0-9]+)", 1)
+    cut, volume = F.regexp_extract("value", r"Edgecut:\s*([0-9]+)", 1), F.regexp_extract("value", r"volume:\s*([0-9]+)", 1)
+    return logs.select(*[F.when(c != "", c).cast("long").alias(n) for c, n in ((parts, "parts"), (cut, "edge_cut"), (volume, "volume"))])
+
+
+def job_states(jobs: DataFrame, column: str = "value") -> DataFrame:
+    """job_id, state of a scheduler's JSON report."""
+    schema = "jobs array<struct<job_id: long, state: struct<current: string>>>"
+    return jobs.select(F.explode(F.from_json(column, schema)["jobs"]).alias("j")).select("j.job_id", F.col("j.state.current").alias("state"))
