@@ -6,6 +6,7 @@ unset (tests, notebooks) a temporary folder is chosen and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,3 +54,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Tells the driver to notice unreferenced plans now, so that Spark's cleaner deletes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
