@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.plans.durable import written, written_by_key
+from edgeloom.plans.durable import let_go, written, written_by_key
 
 LENGTH = 50
 GRAM = 24
@@ -327,7 +327,8 @@ def _candidates(buckets: int, keep: bool):
 
 def _salt(i):
     """Keeps the same hash of different texts apart."""
-    return (np.asarray(i).astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)
+    salt = (np.atleast_1d(i).astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)
+    return salt if np.ndim(i) else salt[0]
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -410,15 +411,8 @@ def _cut(keep: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = True, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, extra, rk (a hash of doc_id and text), n_bytes, n_removed, n_spans, kept_sha256, kept.
-
-    ``kept`` has the bytes that stay, less the parts of characters that were
-    cut through (null without ``keep_bytes``); ``extra`` the named columns as JSON.
-    """
-    spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX)).alias("id"), (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
+def _shared_anchors(base: DataFrame) -> tuple[DataFrame, int]:
+    """Written table id, hashes (its shared anchors), copies (digests of texts that an earlier document has); a bucket count for step 2."""
     keys = written(base.select("id", F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").alias("n")), "texts")
     total = keys.agg(F.sum("n")).head()[0] or 0
     buckets, meetings = max(1, total * 71 // 1000 // 250_000), max(1, total // 1_500_000)
@@ -427,10 +421,24 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True, extra: list[str] |
     copies = keys.join(first, "md5").where("id > least").groupBy("id").agg(F.collect_set("md5").alias("copies"))
     sent = base.select("id", "text").mapInArrow(_emit_anchors(buckets), "bucket long, settled boolean, hashes binary, ids binary, flags binary")
     shared = sent.groupBy("bucket").applyInArrow(_share, "id long, hash long").groupBy("id").agg(F.collect_list("hash").alias("hashes"))
-    info = written(shared.join(copies, "id", "full_outer"), "shared")
+    return written(shared.join(copies, "id", "full_outer"), "shared"), meetings
+
 
+def remove_repeats(docs: DataFrame, keep_bytes: bool = True, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, extra, rk (a hash of doc_id and text), n_bytes, n_removed, n_spans, kept_sha256, kept.
+
+    ``kept`` has the bytes that stay, less the parts of characters that were
+    cut through (null without ``keep_bytes``); ``extra`` the named columns as JSON.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX)).alias("id"), (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
+    info, meetings = _shared_anchors(base)
+    let_go(spark)  # the anchors' shuffle files are done with
     joined = base.withColumn("rk", F.xxhash64("id", "text")).join(info, "id", "left").select("doc_id", "id", "rk", "text", "extra", "hashes", "copies")
     rows = written_by_key(joined.mapInArrow(_candidates(meetings, keep_bytes), _CANDIDATE), "id", int(spark.conf.get("spark.sql.shuffle.partitions")), "candidates")
+    del joined
+    let_go(spark)  # and those of the texts
     asked = rows.where("kind = 1").select("bucket", "ids", "rks", "places", "masks", "around")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "id long, rk long, place long, mask long")
     marks = answers.unionByName(rows.where("kind = 2").select("id", "rk", "place", "mask"))
