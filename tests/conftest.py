@@ -1,11 +1,21 @@
-import pytest
+import tempfile
 
-from edgeloom.session import local_session
+import pytest
+from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "4g")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="edgeloom-warehouse-"))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
