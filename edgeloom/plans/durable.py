@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +61,4 @@ def let_go(spark: SparkSession) -> None:
     """Tells the driver to notice unreferenced plans now, so that Spark's cleaner deletes their shuffle files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(2)  # the cleaner works on its own thread
