@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.ngrams import buffers, has_letter, hashed
+from edgeloom.llm.workers import lean_batches, tidy
 
 PER_LANGUAGE = 500
 BITS = 16
@@ -131,6 +132,7 @@ def learn(docs: DataFrame) -> dict:
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous; its other columns stay as they are."""
+    lean_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     docs = docs.select(*keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -139,6 +141,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         for b in batches:
             lang, score, unsure = decode(model, b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[*b.schema.names, "lang_pred", "score", "ambiguous"])
+        tidy()
 
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.encoding import default_tokenizer, encoder
+from edgeloom.llm.workers import lean_batches, tidy
 from edgeloom.plans.durable import fresh_path
 from edgeloom.plans.ranking import running_offsets
 
@@ -130,6 +131,7 @@ def round_patterns(solution: list[tuple[np.ndarray, float]], need: np.ndarray) -
 
 def encode_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
     """Written table of pieces: part, kind (length in grains), nth (of its kind in the part), doc_id, start, length, doc_tokens, ids."""
+    lean_batches(docs.sparkSession)
     name = tokenizer or default_tokenizer()
 
     def run(batches):
@@ -153,6 +155,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = E
                     rows, held = [[], [], [], [], [], [], []], 0
             if rows[0]:
                 yield batch(part, rows)
+        tidy()
 
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["kind", "nth", "doc_id", "start", "length", "doc_tokens", "ids"]

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.workers import lean_batches, tidy
 from edgeloom.operators.components import connected_components
 from edgeloom.plans.durable import written
 
@@ -77,6 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -147,6 +149,7 @@ def near_links(fps: DataFrame) -> DataFrame:
                 for at in range(0, len(own), 4096):
                     rows = list(_deal(own[at : at + 4096], masks, 0, buckets))
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "payload"])
+        tidy()
 
     def meet(table: pa.Table) -> pa.Table:
         parts = [_undeal(p.as_py()) for p in table["payload"]]
@@ -159,6 +162,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links)."""
+    lean_batches(docs.sparkSession)
     marks = written(fingerprints(docs, shingle), "marks")
     per = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = connected_components(near_links(marks)).withColumnRenamed("id", "fp")

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm.workers import lean_batches, tidy
 from edgeloom.plans.durable import let_go, written, written_by_key
 
 LENGTH = 50
@@ -210,6 +211,7 @@ def _emit_anchors(buckets: int):
                     rows.append((int(place[a]), False, one[a:z].tobytes(), own[a:z].tobytes(), flag[a:z].tobytes()))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "settled", "hashes", "ids", "flags"])
+        tidy()
 
     return run
 
@@ -317,10 +319,11 @@ def _candidates(buckets: int, keep: bool):
                     bucket=goes[cut],
                     ids=[ids[owner[p]].tobytes() for p in pieces],
                     rks=[rks[owner[p]].tobytes() for p in pieces],
-                    places=[local[p].tobytes() for p in pieces],
+                    places=[local[p].astype(np.uint32).tobytes() for p in pieces],
                     masks=[asks[p].astype(np.int32).tobytes() for p in pieces],
                     around=[around[a:z].tobytes() for a, z in zip(cut.tolist(), ends, strict=True)],
                 )
+        tidy()
 
     return run
 
@@ -359,7 +362,7 @@ def _answer(table: pa.Table) -> pa.Table:
     anchor has others are refined.
     """
     cat = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
-    ids, rks, places, masks = cat("ids", np.int64), cat("rks", np.int64), cat("places", np.int64), cat("masks", np.int32)
+    ids, rks, places, masks = cat("ids", np.int64), cat("rks", np.int64), cat("places", np.uint32).astype(np.int64), cat("masks", np.int32)
     around = cat("around", np.uint8).reshape(-1, WIDE)
     key = _digest(around)
     order, start, group = _groups(key)
@@ -415,7 +418,7 @@ def _shared_anchors(base: DataFrame) -> tuple[DataFrame, int]:
     """Written table id, hashes (its shared anchors), copies (digests of texts that an earlier document has); a bucket count for step 2."""
     keys = written(base.select("id", F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").alias("n")), "texts")
     total = keys.agg(F.sum("n")).head()[0] or 0
-    buckets, meetings = max(1, total * 71 // 1000 // 250_000), max(1, total // 1_500_000)
+    buckets, meetings = max(1, total * 71 // 1000 // 250_000), max(1, total // 6_000_000)
 
     first = keys.groupBy("md5").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("md5", "least")
     copies = keys.join(first, "md5").where("id > least").groupBy("id").agg(F.collect_set("md5").alias("copies"))
@@ -431,6 +434,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True, extra: list[str] |
     cut through (null without ``keep_bytes``); ``extra`` the named columns as JSON.
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX)).alias("id"), (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
     info, meetings = _shared_anchors(base)
