@@ -46,6 +46,7 @@ SPAN = LENGTH - GRAM + 1  # q-grams, and so window starts, per window
 WIDE = LENGTH + SPAN - 1  # bytes that an anchor's windows cover
 SEGMENT = 1 << 19
 CHUNK = 1 << 19
+BLOCK = 8000  # questions settled at a time
 SLICE = 1000  # rows turned into Python objects at a time
 _MAX = (1 << 63) - 1
 _U = np.uint64
@@ -358,20 +359,37 @@ def _digest(rows: np.ndarray) -> np.ndarray:
 def _answer(table: pa.Table) -> pa.Table:
     """id, rk, place, mask: windows of the questions that a smaller document also has.
 
-    Equal surroundings are taken together first; only surroundings whose
-    anchor has others are refined.
+    Only questions with one anchor can meet, so they are settled in blocks
+    that end where an anchor does.
     """
     cat = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
-    ids, rks, places, masks = cat("ids", np.int64), cat("rks", np.int64), cat("places", np.uint32).astype(np.int64), cat("masks", np.int32)
+    ids, rks, places, masks = cat("ids", np.int64), cat("rks", np.int64), cat("places", np.uint32), cat("masks", np.int32)
     around = cat("around", np.uint8).reshape(-1, WIDE)
-    key = _digest(around)
-    order, start, group = _groups(key)
+    order, start, _ = _groups(_digest(around[:, SPAN - 1 : SPAN - 1 + GRAM]))
+    out, at, n = np.zeros(len(ids), np.int32), 0, len(ids)
+    while at < n:
+        end = int(np.append(start, n)[np.searchsorted(start, min(at + BLOCK, n))]) if at + BLOCK < n else n
+        some = order[at:end]
+        if end - at > 1:
+            out[some] = _settled(ids[some], masks[some], around[some])
+        at = end
+    hit = out > 0
+    found = pa.table({"id": pa.array(ids[hit]), "rk": pa.array(rks[hit]), "place": pa.array(places[hit].astype(np.int64)), "mask": pa.array(out[hit].astype(np.int64))})
+    del around, order, start
+    tidy()
+    return found
+
+
+def _settled(ids: np.ndarray, masks: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Masks of the windows that a smaller id has too. Equal surroundings are taken together
+    first; only surroundings whose anchor has others are refined."""
+    order, start, group = _groups(_digest(around))
     if (around != around[order[start]][group]).any():  # two surroundings with one hash: take none together
         order, start, group = np.arange(len(ids)), np.arange(len(ids)), np.arange(len(ids))
-    own = (masks[:, None] >> np.arange(SPAN)[None, :]) & 1 > 0
+    own = (masks[:, None] >> np.arange(SPAN, dtype=np.int32)[None, :]) & 1 > 0
     least = np.minimum.reduceat(np.where(own, ids[:, None], _MAX)[order], start, axis=0)
     some = around[order[start]]
-    _, first, family = _groups(_digest(np.ascontiguousarray(some[:, SPAN - 1 : SPAN - 1 + GRAM])))
+    _, first, family = _groups(_digest(some[:, SPAN - 1 : SPAN - 1 + GRAM]))
     mixed = np.flatnonzero(np.diff(np.append(first, len(family)))[family] > 1)
     if len(mixed):
         number = refined_buckets(np.concatenate([some[mixed].ravel(), np.zeros(LENGTH, np.uint8)]))
@@ -379,11 +397,10 @@ def _answer(table: pa.Table) -> pa.Table:
         where = (np.arange(len(mixed))[:, None] * WIDE + np.arange(SPAN)[None, :])[live]
         by, begin, one = _groups(number[where])
         found = least[mixed]
-        found[live] = np.minimum.reduceat(found[live][by], begin)[one]
+        if len(by):
+            found[live] = np.minimum.reduceat(found[live][by], begin)[one]
         least[mixed] = found
-    out = ((own & (least[group] < ids[:, None])) * (1 << np.arange(SPAN, dtype=np.int64))[None, :]).sum(1)
-    hit = out > 0
-    return pa.table({"id": pa.array(ids[hit]), "rk": pa.array(rks[hit]), "place": pa.array(places[hit]), "mask": pa.array(out[hit])})
+    return ((own & (least[group] < ids[:, None])) * (1 << np.arange(SPAN, dtype=np.int64))[None, :]).sum(1)
 
 
 def _cut(keep: bool):
@@ -418,7 +435,7 @@ def _shared_anchors(base: DataFrame) -> tuple[DataFrame, int]:
     """Written table id, hashes (its shared anchors), copies (digests of texts that an earlier document has); a bucket count for step 2."""
     keys = written(base.select("id", F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").alias("n")), "texts")
     total = keys.agg(F.sum("n")).head()[0] or 0
-    buckets, meetings = max(1, total * 71 // 1000 // 250_000), max(1, total // 6_000_000)
+    buckets, meetings = max(1, total * 71 // 1000 // 250_000), max(1, total // 4_000_000)
 
     first = keys.groupBy("md5").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("md5", "least")
     copies = keys.join(first, "md5").where("id > least").groupBy("id").agg(F.collect_set("md5").alias("copies"))
