@@ -47,7 +47,7 @@ WIDE = LENGTH + SPAN - 1  # bytes that an anchor's windows cover
 SEGMENT = 1 << 19
 CHUNK = 1 << 19
 BLOCK = 8000  # questions settled at a time
-SLICE = 1000  # rows turned into Python objects at a time
+SLICE = 500  # rows turned into Python objects at a time
 _MAX = (1 << 63) - 1
 _U = np.uint64
 
@@ -158,12 +158,12 @@ def _beaten(number: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks(texts: list[bytes]):
+def _chunks(texts: list[bytes], most: int | None = None):
     chunk = Chunk()
     for i, raw in enumerate(texts):
         for base, part in segments(raw):
             chunk.add(i, part, base)
-            if chunk.size >= CHUNK:
+            if chunk.size >= (most or CHUNK):
                 yield chunk.seal()
                 chunk = Chunk()
     if chunk.size:
@@ -264,17 +264,17 @@ def _candidates(buckets: int, keep: bool):
                     wait.append(i)
                 else:
                     done.append((ids[i], docs[i], extra[i], rks[i], len(raw), 0, 0, raw))
-            for at in range(0, len(done), 500):
-                k, d, e, r, n, gone, spans, kept = zip(*done[at : at + 500], strict=True)
+            for at in range(0, len(done), 200):
+                k, d, e, r, n, gone, spans, kept = zip(*done[at : at + 200], strict=True)
                 more = {"kept": kept} if keep else {}
                 yield _rows(0, id=k, doc_id=d, extra=e, rk=r, n_bytes=n, n_removed=gone, n_spans=spans, kept_sha256=[hashlib.sha256(b).hexdigest() for b in kept], **more)
-            for at in range(0, len(wait), 500):
-                some = wait[at : at + 500]
+            for at in range(0, len(wait), 200):
+                some = wait[at : at + 200]
                 yield _rows(3, id=ids[some], doc_id=[docs[i] for i in some], extra=[extra[i] for i in some], rk=rks[some], kept=[texts[i] for i in some])
             waits = set(wait)
             wanted = np.concatenate([hits[i].values.to_numpy(zero_copy_only=False).view(_U) ^ _salt(i) for i in wait]) if wait else np.zeros(0, _U)
             wanted = np.unique(wanted)
-            for chunk in _chunks([texts[i] if i in waits else b"" for i in range(len(texts))]):
+            for chunk in _chunks([texts[i] if i in waits else b"" for i in range(len(texts))], CHUNK // 2):
                 at, hashes, low = anchors(chunk)
                 seg = np.searchsorted(chunk.starts, at, side="right") - 1
                 owner = chunk.owner[seg]
@@ -283,8 +283,10 @@ def _candidates(buckets: int, keep: bool):
                 at, hashes, seg, owner = at[take], hashes[take], seg[take], owner[take]
                 if not len(at):
                     continue
-                starts = at[:, None] - np.arange(SPAN - 1, -1, -1)[None, :]
-                own = (starts >= chunk.starts[seg][:, None]) & (low[np.maximum(starts, 0)] == hashes[:, None])
+                at = at.astype(np.int32)
+                begin, end = chunk.starts[seg].astype(np.int32), chunk.starts[seg + 1].astype(np.int32)
+                starts = at[:, None] - np.arange(SPAN - 1, -1, -1, dtype=np.int32)[None, :]
+                own = (starts >= begin[:, None]) & (low[np.maximum(starts, 0)] == hashes[:, None])
                 step = np.zeros(len(chunk.buf) + 1, np.int32)
                 np.add.at(step, np.maximum(at - SPAN + 1, 0), 1)
                 np.add.at(step, np.minimum(at - SPAN + 1 + WIDE, len(chunk.buf)), -1)
@@ -297,18 +299,20 @@ def _candidates(buckets: int, keep: bool):
                 lost = np.zeros(len(near), bool)
                 lost[where[_beaten(number[where], who)]] = True
                 beaten = own & lost[np.maximum(starts, 0)]
-                bits = (1 << np.arange(SPAN, dtype=np.int64))[None, :]
-                found = (beaten * bits).sum(1)
+                bits = (1 << np.arange(SPAN, dtype=np.int32))[None, :]
+                found = (beaten * bits).sum(1, dtype=np.int32)
                 local = at - chunk.starts[seg] + chunk.base[seg]
                 if found.any():
                     yield _rows(2, id=ids[owner[found > 0]], rk=rks[owner[found > 0]], place=local[found > 0], mask=found[found > 0])
-                asks = ((own & ~beaten) * bits).sum(1)
+                asks = ((own & ~beaten) * bits).sum(1, dtype=np.int32)
+                del starts, own, beaten, number, lost, near, step
                 ask = np.flatnonzero(asks)
                 if not len(ask):
                     continue
-                spot = at[ask, None] - (SPAN - 1) + np.arange(WIDE)[None, :]
-                inside = (spot >= chunk.starts[seg[ask]][:, None]) & (spot < chunk.starts[seg[ask] + 1][:, None])
-                around = np.where(inside, chunk.buf[np.clip(spot, 0, len(chunk.buf) - 1)], 0).astype(np.uint8)
+                spot = at[ask, None] - np.int32(SPAN - 1) + np.arange(WIDE, dtype=np.int32)[None, :]
+                around = chunk.buf[np.clip(spot, 0, len(chunk.buf) - 1)]
+                around[(spot < begin[ask, None]) | (spot >= end[ask, None])] = 0
+                del spot
                 goes = (hashes[ask] % _U(buckets)).astype(np.int64)
                 by = np.argsort(goes, kind="stable")
                 goes, ask, around = goes[by], ask[by], around[by]
