@@ -84,21 +84,37 @@ def first_fit(size: np.ndarray, need: np.ndarray, room: int) -> list[np.ndarray]
     return out
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots, in plain array steps (a threaded library would fight the executors of a local session)."""
+    m = len(basis)
+    a = np.concatenate([basis.astype(float), np.eye(m)], 1)
+    for i in range(m):
+        top = i + int(np.abs(a[i:, i]).argmax())
+        if top != i:
+            a[[i, top]] = a[[top, i]]
+        a[i] /= a[i, i]
+        rows = np.flatnonzero(a[:, i])
+        rows = rows[rows != i]
+        a[rows] -= a[rows, i, None] * a[i]
+    return a[:, m:]
+
+
 def solve_patterns(size: np.ndarray, need: np.ndarray, room: int, gap: float = GAP, most: int = 2000) -> list[tuple[np.ndarray, float]]:
     """(pattern, times) of a linear program that covers ``need`` with the fewest sequences, within ``gap``."""
     m, floor = len(size), float((size * need).sum()) / room
     patterns = [np.eye(m, dtype=np.int64)[i] * (room // size[i]) for i in range(m)]
     inverse = np.diag([1.0 / p.max() for p in patterns])
-    times, ready, pivots = inverse @ need, first_fit(size, need, room)[::-1], 0
+    times, ready, pivots = (inverse * need).sum(1), first_fit(size, need, room)[::-1], 0
     while pivots < most and times.sum() > floor * (1 + gap):
         prices = inverse.sum(0)
         column = ready.pop() if ready else pattern_from(knapsack(prices, size, room)[1], size, room)
-        worth = float(prices @ column)
+        held = np.flatnonzero(column)
+        worth = float((prices[held] * column[held]).sum())
         if worth <= 1 + gap:
             if ready:
                 continue
             break
-        move = inverse @ column
+        move = (inverse[:, held] * column[held]).sum(1)
         up = move > 1e-9
         out = int(np.where(up, times / np.where(up, move, 1), np.inf).argmin())
         patterns[out] = column
@@ -107,8 +123,8 @@ def solve_patterns(size: np.ndarray, need: np.ndarray, room: int, gap: float = G
         inverse[out] = row
         pivots += 1
         if pivots % 300 == 0:
-            inverse = np.linalg.inv(np.stack(patterns, 1).astype(float))
-        times = np.maximum(inverse @ need, 0)
+            inverse = inverted(np.stack(patterns, 1))
+        times = np.maximum((inverse * need).sum(1), 0)
     return list(zip(patterns, times.tolist(), strict=True))
 
 
