@@ -6,6 +6,8 @@ its own name; ``ids`` are the rows of the operator inventory it answers for.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from edgeloom import fixtures, functions, sources
 from edgeloom.fixtures import SQL as RAW
 from edgeloom.fixtures import simple_sql
 from edgeloom.operators import components, curves, degrees, distances, motifs, ordering, pagerank, relational, reports, scc, simplify, spectral
+from edgeloom.plans.durable import fresh_path, written
 from edgeloom.session import table
 
 QUERIES: dict = {}
@@ -836,6 +839,79 @@ def scraped_statistics(spark, d):
     return rounded(deg.agg(F.sum((x * (x - 1) / 2).cast("long")).alias("wedge"), F.sum((x * (x - 1) * (x - 2) / 6).cast("long")).alias("claw"), (F.sum("deg") / F.count(F.lit(1))).alias("mean_degree"), F.max("deg").alias("max_degree")))
 
 
+# Round trips and lists
+
+
+@query(f"WITH {UU} SELECT src, dst FROM e", "A10 A11 A14 A15")
+def edge_file_roundtrip(spark, d):
+    path = fresh_path(spark, "edge_files")
+    sources.write_edges(graph(spark, d, "g_uu").edges, f"{path}/bin", "bin")
+    sources.write_edges(sources.read_edges(spark, f"{path}/bin", "bin"), f"{path}/net", "net")
+    return sources.read_edges(spark, f"{path}/net", "net")
+
+
+@query("SELECT event_type, 2 * count(*) AS n, 2 * sum(user_id)::BIGINT AS users FROM events GROUP BY event_type", "A17 A18 M7")
+def csv_append_roundtrip(spark, d):
+    path, rows = fresh_path(spark, "runs"), table(spark, d, "events").select("event_type", "user_id")
+    for part in ("a", "b"):
+        sources.append_csv(rows, f"{path}/{part}")
+    back = sources.read_csv_tree(spark, path, "event_type string, user_id long")
+    return back.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
+
+
+@query("SELECT r_regionkey FROM region", "B11 O5")
+def write_if_missing(spark, d):
+    path, r = fresh_path(spark, "once"), table(spark, d, "region").select("r_regionkey")
+    r.write.mode("ignore").parquet(path)
+    r.where("r_regionkey > 2").write.mode("ignore").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT r_regionkey, r_name AS name FROM region", "L11")
+def row_maps(spark, d):
+    m = F.create_map(F.lit("key"), F.col("r_regionkey").cast("string"), F.lit("name"), F.col("r_name"))
+    return table(spark, d, "region").select("r_regionkey", m.alias("m")).select("r_regionkey", F.col("m")["name"].alias("name"))
+
+
+@query("SELECT 'orig' AS name UNION ALL SELECT 'dbg'", "D16")
+def ordering_names(spark, d):
+    return spark.createDataFrame([(n,) for n in ordering.check_names(["orig", "dbg"])], "name string")
+
+
+@query("SELECT 5 AS stages, 5 AS timed", "B10 T4")
+def stage_timings(spark, d):
+    rows = timings(fixtures.g_uu(spark, d))
+    return spark.createDataFrame(rows, "stage string, ms double").agg(F.count(F.lit(1)).cast("int").alias("stages"), F.count_if(F.col("ms") > 0).cast("int").alias("timed"))
+
+
+@query(None, "K4")
+def cyclic_eigenvalue(spark, d):
+    return spark.createDataFrame([(round(spectral.cyclic_eigenvalue(graph(spark, d, "g_uu"), 6), 3),)], "cyclic_eigenvalue double")
+
+
+@query(None, "K5")
+def algebraic_connectivity(spark, d):
+    return spark.createDataFrame([(round(spectral.algebraic_connectivity(graph(spark, d, "g_uu"), 6), 3),)], "ritz_value double")
+
+
+def timings(raw: DataFrame) -> list[tuple[str, float]]:
+    """Milliseconds of each step of simplification, each made by an action of its own."""
+    out = []
+
+    def timed(name, df):
+        began = time.perf_counter()
+        df = written(df, name)
+        out.append((name, (time.perf_counter() - began) * 1000))
+        return df
+
+    kept = timed("ingest", simplify.drop_loops(raw))
+    ends = timed("unique_vs", simplify.endpoints(kept))
+    ids = timed("sort_vs", simplify.dense_ids(ends, "orig_id"))
+    edges = timed("unique_es", simplify.relabel(kept.distinct(), ids))
+    timed("sort_es", edges.sortWithinPartitions("src", "dst"))
+    return out
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The twenty highest PageRank scores of the customer graph."""
     return pagerank.pagerank(graph(spark, d, "g_cc")).orderBy(F.desc("score"), "id").limit(20)
