@@ -14,6 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PATHS: list[str] = []
+_TABLES: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
@@ -23,7 +27,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
 
 
 def written(df: DataFrame, tag: str = "stage") -> DataFrame:
@@ -41,6 +47,7 @@ def written_by_key(df: DataFrame, key: str, buckets: int, tag: str = "keyed") ->
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
     df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    _TABLES.append(name)
     return spark.table(name)
 
 
@@ -57,6 +64,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Drops all staged tables and files of this session. Results that still read them must be written before."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
+    while _PATHS:
+        drop_path(spark, _PATHS.pop())
+
+
 def let_go(spark: SparkSession) -> None:
     """Tells the driver to notice unreferenced plans now, so that Spark's cleaner deletes their shuffle files."""
     gc.collect()

@@ -153,3 +153,15 @@ def test_discrete_power_law_finds_its_exponent(spark):
 
 def test_p_value_of_a_correlation():
     assert abs(degrees.student_p(0.5, 20) - 0.02476) < 1e-3
+
+
+def test_staged_tables_can_be_cleaned_up(spark):
+    from edgeloom.plans import durable
+
+    kept = durable.written(spark.range(5), "test")
+    keyed = durable.written_by_key(spark.range(5), "id", 2, "test")
+    assert kept.count() == 5 and keyed.count() == 5
+    name, path = durable._TABLES[-1], durable._PATHS[-1]
+    durable._TABLES[:], durable._PATHS[:] = [name], [path]
+    durable.clean_up(spark)
+    assert not spark.catalog.tableExists(name) and not durable._TABLES and not durable._PATHS
