@@ -319,9 +319,9 @@ def reverse_rcm_check(spark, d):
     return ordering.is_permutation(ordering.reverse(ordering.cuthill_mckee(graph(spark, d, "g_sparse"))))
 
 
-@query(f"WITH {UU} {_BIJECTION}", "D7 D8")
+@query(f"WITH {SP} {_BIJECTION}", "D7 D8")
 def slashburn_check(spark, d):
-    return ordering.is_permutation(ordering.slashburn(graph(spark, d, "g_uu"), 0.1)[0])
+    return ordering.is_permutation(ordering.slashburn(graph(spark, d, "g_sparse"), 0.03)[0])
 
 
 @query(f"WITH {UU} SELECT greatest(1, floor(count(*) * 0.1))::BIGINT AS k FROM v", "D9 N3")
