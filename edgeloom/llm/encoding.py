@@ -13,20 +13,44 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 KEPT = 600_000
 _SEGMENT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-@\[-`{-~]|\Z)| ?\S+|\s+(?!\S)|\s+")
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Segments(dict):
+    """Bytes of the ids of each segment met; one that is not there yet is encoded when it is asked for."""
+
+    def __init__(self, encoder: Encoder, old: dict[str, bytes]):
+        self.encoder, self.old = encoder, old
+
+    def __missing__(self, segment: str) -> bytes:
+        got = self.old.get(segment) or self.encoder.encoded(segment)
+        self[segment] = got
+        return got
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,9 +58,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.seen: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.seen = _Segments(self, {})
+
+    def encoded(self, segment: str) -> bytes:
+        """A single word goes to the model itself, anything else through the whole tokenizer."""
+        if _WORD.match(segment):
+            units = segment.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            return array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
+        return array("I", self.tokenizer.encode(segment, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
         """uint32 ids of one text; null: none."""
@@ -44,34 +74,9 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = _SEGMENT.findall(text)
-        seen = self.seen
-        new = [p for p in set(parts) if p not in seen]
-        if new:
-            if len(seen) + len(new) > KEPT:
-                self.old, self.seen = seen, {}
-                seen, new = self.seen, list(set(parts))
-            known, new = [p for p in new if p in self.old], [p for p in new if p not in self.old]
-            seen.update((p, self.old[p]) for p in known)
-            self._learn(new)
-        return np.frombuffer(b"".join(map(seen.__getitem__, parts)), "<u4")
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes new segments; those without white space go in one text, a line each."""
-        if not new:
-            return
-        plain = [p for p in new if not p.isspace()]
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == self.line)
-        raw, at = ids.tobytes(), 0
-        if len(ends) != max(0, len(plain) - 1):
-            raise ValueError("the vocabulary merges line breaks with words")
-        for p, e in zip(plain, [*(ends * 4).tolist(), len(raw)], strict=False):
-            self.seen[p] = raw[at:e]
-            at = e + 4
-        for p in new:
-            if p.isspace():
-                self.seen[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.seen) > KEPT:
+            self.seen = _Segments(self, dict(self.seen))
+        return np.frombuffer(b"".join(map(self.seen.__getitem__, _SEGMENT.findall(text))), "<u4")
 
 
 _ENCODERS: dict[str, Encoder] = {}
