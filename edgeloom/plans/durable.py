@@ -73,7 +73,11 @@ def clean_up(spark: SparkSession) -> None:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Tells the driver to notice unreferenced plans now, so that Spark's cleaner deletes their shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(2)  # the cleaner works on its own thread
+    """Tells the driver to notice unreferenced plans now, so that Spark's cleaner deletes their shuffle files.
+
+    More than once, as the bridge to the JVM gives up its own references a moment later.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)  # the cleaner works on its own thread
