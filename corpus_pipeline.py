@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm import decontaminate, language, packing, simhash, suffix_dedup
+from edgeloom.llm import decontaminate, language, near_copies, packing, suffix_dedup
 from edgeloom.plans.durable import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,9 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, once."""
+    """Of each group of near copies (five-word shingles, Jaccard of 0.8 at least) the document with the smallest doc_id stays, once."""
     docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    groups = near_copies.near_duplicates(docs.select("doc_id", "text"))
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
     named = docs.join(stay, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
