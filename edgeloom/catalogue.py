@@ -464,7 +464,7 @@ def pr_normalized(spark, d):
 
 @query("SELECT 1 AS valid", "F4 F5 F7 T2")
 def pagerank_reordered_valid(spark, d):
-    g = graph(spark, d, "g_sparse")
+    g = graph(spark, d, "g_cc")
     order = ordering.degree_sort(degrees.degrees(g))
     moved = simplify.Graph(simplify.apply_ordering(g.edges, order), order.select(F.col("new_id").alias("id"), F.col("id").alias("orig_id")))
     return pagerank.agrees(pagerank.pagerank(g), pagerank.unpermuted(pagerank.pagerank(moved), order))
@@ -634,7 +634,7 @@ def effective_diameter(spark, d):
 
 @query(None, "I1")
 def hyperball_estimate(spark, d):
-    return rounded(distances.hyperball(graph(spark, d, "g_sparse")), 1)
+    return rounded(distances.hyperball(graph(spark, d, "g_cc")), 1)
 
 
 @query(f"{_NF} SELECT a AS source, max(t) AS radius FROM dist WHERE a < 20 GROUP BY a", "I9")
