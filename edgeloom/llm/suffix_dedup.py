@@ -392,12 +392,13 @@ def _settled(ids: np.ndarray, masks: np.ndarray, around: np.ndarray) -> np.ndarr
         order, start, group = np.arange(len(ids)), np.arange(len(ids)), np.arange(len(ids))
     own = (masks[:, None] >> np.arange(SPAN, dtype=np.int32)[None, :]) & 1 > 0
     least = np.minimum.reduceat(np.where(own, ids[:, None], _MAX)[order], start, axis=0)
+    there = np.logical_or.reduceat(own[order], start, axis=0)  # not told by least: a null doc_id is _MAX itself
     some = around[order[start]]
     _, first, family = _groups(_digest(some[:, SPAN - 1 : SPAN - 1 + GRAM]))
     mixed = np.flatnonzero(np.diff(np.append(first, len(family)))[family] > 1)
     if len(mixed):
         number = refined_buckets(np.concatenate([some[mixed].ravel(), np.zeros(LENGTH, np.uint8)]))
-        live = least[mixed] < _MAX
+        live = there[mixed]
         where = (np.arange(len(mixed))[:, None] * WIDE + np.arange(SPAN)[None, :])[live]
         by, begin, one = _groups(number[where])
         found = least[mixed]
