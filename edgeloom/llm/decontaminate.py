@@ -8,8 +8,9 @@ compared place by place, and the document is contaminated if some window of
 ``WINDOW`` words (the whole item if it is shorter) agrees in at least 80 %.
 
 The mask 11011 alone meets every window of 20 words with up to four
-substitutions (all 4,845 patterns were tried); the second mask helps items
-that are shorter. Documents are not shuffled: their seeds meet the item seeds
+substitutions (all 4,845 patterns were tried); both masks meet all that items
+of 15 words or more may differ in. If there are items below that, three masks
+more are used for all, and no pattern is missed from five words on. Documents are not shuffled: their seeds meet the item seeds
 in a map-side join as long as the items are below ``BROADCAST_BYTES``; beyond,
 narrow seed rows are shuffled and only documents with hits are read again.
 
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASKS = ((0, 1, 3, 4), (0, 2, 3, 5))
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 2, 3, 4))
+SHORT = 15
 WINDOW = 20
 SHARE = 0.8
 BROADCAST_BYTES = 32 << 20
@@ -33,13 +36,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def _seeds(df: DataFrame, at: str) -> DataFrame:
+def _seeds(df: DataFrame, at: str, masks: tuple = MASKS) -> DataFrame:
     """A row per mask and place where the mask fits into ``tokens``: adds ``at`` and ``seed``."""
-    n = len(MASKS)
-    spread = df.where(F.size("tokens") > min(m[-1] for m in MASKS)).withColumn("_g", F.explode(F.sequence(F.lit(0), n * F.size("tokens") - 1)))
+    n = len(masks)
+    spread = df.where(F.size("tokens") > min(m[-1] for m in masks)).withColumn("_g", F.explode(F.sequence(F.lit(0), n * F.size("tokens") - 1)))
     place = F.floor(F.col("_g") / n).cast("int")
     seed, fits = None, None
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate(masks):
         mine = F.col("_g") % n == k
         h = F.xxhash64(F.lit(k), *[F.get("tokens", place + o) for o in mask])
         ok = place + mask[-1] < F.size("tokens")
@@ -63,17 +66,19 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST
     """doc_id, item_id, matched (most words that agree at one lie), item_words: a row per contaminated pair."""
     docs = docs.select("doc_id", "text")
     items = items.select("item_id", words(F.col("text")).alias("item_tokens")).where(F.size("item_tokens") > 0)
-    seeds = _seeds(items.withColumnRenamed("item_tokens", "tokens"), "item_at").select("item_id", "item_at", "seed").distinct()
-    size = items.agg(F.sum(F.octet_length(F.array_join("item_tokens", " ")))).head()[0] or 0
+    size, short = items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("item_tokens", " "))), F.lit(0)), F.count_if(F.size("item_tokens").between(5, SHORT - 1))).head()
+    masks = MASKS + SHORT_MASKS if short else MASKS
+    seeds = _seeds(items.withColumnRenamed("item_tokens", "tokens"), "item_at", masks).select("item_id", "item_at", "seed").distinct()
+    named = items.withColumnRenamed("item_id", "_item")
     lead = (F.col("at") - F.col("item_at")).alias("lead")
     tokens = words(F.col("text")).alias("tokens")
     if size <= broadcast_bytes:
-        hits = _seeds(docs.select("doc_id", tokens), "at").join(F.broadcast(seeds), "seed").select("doc_id", "tokens", "item_id", lead)
-        found = hits.join(F.broadcast(items), "item_id")
+        hits = _seeds(docs.select("doc_id", tokens), "at", masks).join(F.broadcast(seeds), "seed").select("doc_id", "tokens", "item_id", lead)
+        found = hits.join(F.broadcast(named), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
     else:
         key = F.xxhash64("doc_id", "text").alias("_row")
-        hits = _seeds(docs.select(key, tokens), "at").select("_row", "at", "seed").join(seeds, "seed").select("_row", "item_id", lead).distinct()
-        found = docs.select("doc_id", key, tokens).join(hits, "_row").join(items, "item_id")
+        hits = _seeds(docs.select(key, tokens), "at", masks).select("_row", "at", "seed").join(seeds, "seed").select("_row", "item_id", lead).distinct()
+        found = docs.select("doc_id", key, tokens).join(hits, "_row").join(named, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
     return _agreement(found).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.first(F.size("item_tokens")).cast("long").alias("item_words"))
 
 
