@@ -1,9 +1,8 @@
 """Five stages from raw documents to packed training sequences.
 
 Each stage takes all that its predecessor kept. All but the last return the
-columns of ``documents``. Rows with a null doc_id cannot be named by others:
-they are never near-duplicates of a kept document, and the other stages treat
-them as any row.
+columns of ``documents``. Every stage decides on rows: a null doc_id counts as
+larger than all others, and rows that share a doc_id are told apart by text.
 """
 
 from __future__ import annotations
@@ -25,13 +24,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard of 0.8 at least) the document with the smallest doc_id stays, once."""
+    """Of each group of near copies (five-word shingles, Jaccard of 0.8 at least) the row with the smallest doc_id stays (null is the largest)."""
     docs = docs.select(*COLUMNS)
     groups = near_copies.near_duplicates(docs.select("doc_id", "text"))
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    named = docs.join(stay, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_key"))
+    named = docs.withColumn("key", near_copies.text_key()).join(first, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    again = Window.partitionBy("key", "doc_id").orderBy("source", "lang", "n_chars")
+    return named.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*COLUMNS)
 
 
 def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

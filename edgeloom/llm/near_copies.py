@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.workers import lean_batches, tidy
@@ -122,15 +122,20 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sided.select("src", "dst", "held_a", "held_b").mapInArrow(_decide, "src long, dst long")
 
 
+def text_key() -> Column:
+    """A hash of column ``text`` (null: empty)."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), component_id (the smallest doc_id reachable over near copies)."""
+    """doc_id, key (``text_key``), root (a key of the component), component_id (the smallest doc_id reachable over near copies)."""
     lean_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("key"), text.alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), text.alias("text"))
     marks = written(keyed.mapInArrow(_sketch, "doc_id long, key long, n long, bands array<long>"), "marks")
     nodes = written(marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     comp = connected_components(near_links(keyed.select("key", "text"), nodes)).withColumnRenamed("id", "key")
     rooted = nodes.select("key", "least").join(comp, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(named, "root").select("key", "component_id")
-    return marks.select("doc_id", "key").join(names, "key").select("doc_id", "key", "component_id")
+    names = rooted.join(named, "root").select("key", "root", "component_id")
+    return marks.select("doc_id", "key").join(names, "key").select("doc_id", "key", "root", "component_id")

@@ -58,3 +58,11 @@ def test_crowds_are_starred(spark, monkeypatch):
     rows = [(k, " ".join([*body, f"tail{k}"])) for k in range(40)]
     got = near_copies.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["component_id"] for r in got} == {0}
+
+
+def test_rows_decide_not_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("z")), (2, text("z") + " more"), (2, text("b")), (2, text("a")), (None, text("n")), (None, text("n")), (None, text("z")), (3, text("q")), (3, text("q"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((str(r["doc_id"]), r["text"][0]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == [("1", "z"), ("2", "a"), ("2", "b"), ("3", "q"), ("None", "n")]
