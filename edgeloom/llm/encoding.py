@@ -5,8 +5,8 @@ Runs of non-space characters, each with at most one space before it (cut once
 more behind a leading word of Latin letters), and the white space between them
 are unions of such segments, so a text's ids are its segments' ids in a row. Words repeat, so a worker keeps the ids of the segments
 it has met lately (two generations of up to ``KEPT``). Texts with the few control
-characters on which the two libraries' ideas of white space differ are encoded
-whole.
+characters on which the two libraries' ideas of white space differ, and texts
+that hold the string of an added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -57,7 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model = self.tokenizer.model
         self.seen = _Segments(self, {})
 
@@ -72,7 +73,7 @@ class Encoder:
         """uint32 ids of one text; null: none."""
         if not text:
             return np.zeros(0, np.uint32)
-        if _ODD.search(text):
+        if _ODD.search(text) or self.added and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.seen) > KEPT:
             self.seen = _Segments(self, dict(self.seen))
