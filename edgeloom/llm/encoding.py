@@ -3,8 +3,9 @@
 A byte-level BPE never merges across the segments that its own pattern cuts.
 Runs of non-space characters, each with at most one space before it (cut once
 more behind a leading word of Latin letters), and the white space between them
-are unions of such segments, so a text's ids are its segments' ids in a row. Words repeat, so a worker keeps the ids of the segments
-it has met lately (two generations of up to ``KEPT``). Texts with the few control
+are unions of such segments, so a text's ids are its segments' ids in a row. Words
+repeat, so a worker keeps the ids of the short segments it has met lately (two
+generations of about ``KEPT_BYTES`` each, whatever the texts hold). Texts with the few control
 characters on which the two libraries' ideas of white space differ, and texts
 that hold the string of an added token, are encoded whole.
 """
@@ -17,7 +18,9 @@ from array import array
 
 import numpy as np
 
-KEPT = 600_000
+KEPT_BYTES = 48_000_000
+SHORT = 64  # characters of a segment worth keeping
+ENTRY = 200  # bytes that an entry takes beside its characters and ids
 _SEGMENT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-@\[-`{-~]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -43,11 +46,13 @@ class _Segments(dict):
     """Bytes of the ids of each segment met; one that is not there yet is encoded when it is asked for."""
 
     def __init__(self, encoder: Encoder, old: dict[str, bytes]):
-        self.encoder, self.old = encoder, old
+        self.encoder, self.old, self.held = encoder, old, 0
 
     def __missing__(self, segment: str) -> bytes:
         got = self.old.get(segment) or self.encoder.encoded(segment)
-        self[segment] = got
+        if len(segment) <= SHORT:
+            self[segment] = got
+            self.held += ENTRY + len(segment) + len(got)
         return got
 
 
@@ -75,7 +80,7 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if _ODD.search(text) or self.added and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self.seen) > KEPT:
+        if self.seen.held > KEPT_BYTES:
             self.seen = _Segments(self, dict(self.seen))
         return np.frombuffer(b"".join(map(self.seen.__getitem__, _SEGMENT.findall(text))), "<u4")
 

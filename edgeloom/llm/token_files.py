@@ -10,7 +10,8 @@ place of a file's first id in the whole.
 
 Defined results: a null or empty text is its end id alone; null doc_ids come
 first; repeated doc_ids follow one another in the order of their texts; an
-empty table gives no files and no rows; extra columns are ignored. A file
+empty table gives no files and no rows; a text of any length is encoded whole;
+extra columns are ignored. A file
 counts only if its task's manifest row was committed, so a task that runs
 again leaves at most a file that nobody reads.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.encoding import default_tokenizer, encoder
+from edgeloom.llm.workers import lean_batches, tidy
 from edgeloom.plans.durable import fresh_path, written
 from edgeloom.plans.ranking import running_offsets
 
@@ -86,6 +88,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
     Columns: part, path, n_docs, n_tokens, first_token (ids in earlier files).
     """
     spark = docs.sparkSession
+    lean_batches(spark)
     name = tokenizer or default_tokenizer()
     root = qualified(spark, fresh_path(spark, "tokens"))
 
@@ -116,6 +119,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
             out.close()
             index.close()
             sink.close()
+            tidy()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [stem.rpartition("/")[2]], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([at], pa.int64())})
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -178,6 +182,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     crc = [zlib.crc32(run.slice(s, n).astype("<u4").tobytes()) for s, n in zip(part["start"].to_pylist(), part["n_tokens"].to_pylist(), strict=True)]
                     start = part["start"].to_numpy() + row["first_token"]
                     yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(start), part["n_tokens"], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        tidy()
 
     spread = manifest.select("part", "root", "path", "first_token").repartition(max(1, manifest.count()), "part")
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
