@@ -5,15 +5,20 @@ tags) with their ancestors. Each block has binary features: its tag, ancestor
 tags, what the ancestors' class, id and role say (in a few categories), length,
 link share, punctuation and place. A two-state chain weighs them together with
 the neighbours' labels; Viterbi picks the best labelling and the blocks
-labelled as text are joined in page order.
+labelled as text are joined in page order. Where some blocks stand in a
+container that is named for its text, a feature tells the others that they do
+not; where no container says so, blocks are judged by the rest alone.
 
 The chain is trained by maximum likelihood on labelled pages. ``sample_pages``
 makes such pages from seeded templates with made-up words, so no word of any
 language carries weight; other labelled pages can be given to ``train``.
 
 Defined results: null or empty html gives an empty text; a page without
-text blocks too; unclosed, crossed and unknown tags are tolerated; null and
-repeated page_ids keep their rows; extra columns are ignored.
+text blocks too; unclosed, crossed and unknown tags are tolerated; a page that
+ends inside a tag, a comment or a script ends before it; pages of any length
+take time in proportion to it; null and repeated page_ids keep their rows; an
+empty table gives no rows; equal pages give equal texts; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SILENT = {"script", "style", "title", "template", "svg", "math", "iframe", "object", "textarea"}
+from edgeloom.llm.workers import lean_batches, tidy
+
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_ATTRS = re.compile(r"[\s/]*+([^\s/>=]++)?+(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
+_TOLD = ("class", "id", "role")
+_SILENT = {"script", "style", "title", "template", "iframe"}  # nothing of theirs is ever shown
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in (*_SILENT, "textarea")}
 _VOID = {"br", "img", "input", "meta", "link", "hr", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 _BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select "
-    "summary table tbody td tfoot th thead tr ul".split()
+    "summary table tbody td textarea tfoot th thead tr ul".split()
 )
 _CATEGORY = {
     "ads": "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promoted promotion",
@@ -53,6 +62,9 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _AROUND = {"nav", "header", "footer", "aside", "form", "article", "main", "section", "table", "ul", "ol", "figure", "noscript", "button", "select", "blockquote", "menu", "dialog"}
 
 
+_APART = {"nav", "header", "footer", "aside", "form", "noscript", "button", "select", "menu", "dialog"}
+
+
 class Block:
     __slots__ = ("tag", "around", "said", "nearest", "text", "linked")
 
@@ -60,21 +72,51 @@ class Block:
         self.tag, self.around, self.said, self.nearest, self.text, self.linked = tag, around, said, nearest, text, linked
 
 
-def _says(attrs: str) -> tuple[str, ...]:
+def _says(told: list[str]) -> tuple[str, ...]:
     out = []
-    for m in _ATTR.finditer(attrs):
-        for w in _SPLIT.split(m[2] or m[3] or m[4] or ""):
+    for value in told:
+        for w in _SPLIT.split(value):
             kind = _WORDS.get(w.lower())
             if kind and kind not in out:
                 out.append(kind)
     return tuple(out)
 
 
+class _Open:
+    """An open element with what it and the elements around it are and say."""
+
+    __slots__ = ("tag", "around", "said", "nearest")
+
+    def __init__(self, tag: str, words: tuple[str, ...], outer: _Open | None):
+        around, said, nearest = (outer.around, outer.said, outer.nearest) if outer else (frozenset(), frozenset(), "")
+        self.tag = tag
+        self.around = around | {tag} if tag in _AROUND else around
+        plain = not words or tag in ("html", "body")
+        self.said, self.nearest = (said, nearest) if plain else (said | set(words), words[-1])
+
+
+def _tag_end(page: str, at: int) -> tuple[int, list[str]]:
+    """Place behind a tag whose attributes begin at ``at`` (-1: the page ends inside it) and its class, id and role.
+
+    As browsers do it: an opening quote without a closing one belongs to its word.
+    """
+    told, n = [], len(page)
+    while at < n:
+        if page[at] == ">":
+            return at + 1, told
+        m = _ATTRS.match(page, at)
+        if m[1] and m[1].lower() in _TOLD:
+            told.append(m[2] or m[3] or m[4] or "")
+        at = m.end() if m.end() > at else at + 1
+    return -1, told
+
+
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order."""
+    """Leaf blocks in page order. Every character is passed a bounded number of times."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Open] = []
+    opened: dict[str, int] = {}
     parts: list[str] = []
     links, anchors, at, n = 0, 0, 0, len(page)
 
@@ -83,15 +125,8 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                said, nearest = set(), ""
-                for tag, words in stack:
-                    if tag in ("html", "body"):
-                        continue
-                    said.update(words)
-                    if words:
-                        nearest = words[-1]
-                own = stack[-1][0] if stack else "body"
-                out.append(Block(own, {t for t, _ in stack if t in _AROUND}, said, nearest, text, min(1.0, links / max(1, len(text)))))
+                top = stack[-1] if stack else _Open("body", (), None)
+                out.append(Block(top.tag, top.around, top.said, top.nearest, text, min(1.0, links / max(1, len(text)))))
             parts.clear()
         links = 0
 
@@ -102,33 +137,60 @@ def blocks(page: str | None) -> list[Block]:
             if anchors:
                 links += len(text.strip())
 
+    def push(tag: str, words: tuple[str, ...]):
+        stack.append(_Open(tag, words, stack[-1] if stack else None))
+        opened[tag] = opened.get(tag, 0) + 1
+
+    def drop_from(i: int):
+        for e in stack[i:]:
+            opened[e.tag] -= 1
+        del stack[i:]
+
+    def close(name: str):
+        nonlocal anchors
+        if opened.get(name):  # else nothing is searched, however deep the page is
+            i = len(stack) - 1
+            while stack[i].tag != name:
+                i -= 1
+            drop_from(i)
+            anchors = 0
+
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+        sign = page.find("<", at)
+        if sign < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+        add(page[at:sign])
+        m = _NAME.match(page, sign + 1)
+        if m is None:
+            if page.startswith("<!--", sign):
+                end = page.find("-->", sign + 4)
+                at = end + 3 if end >= 0 else n
+            elif page.startswith("<![CDATA[", sign):
+                end = page.find("]]>", sign + 9)
+                add(page[sign + 9 : end if end >= 0 else n])
+                at = end + 3 if end >= 0 else n
+            elif page.startswith(("<!", "<?", "</"), sign):
+                end = page.find(">", sign + 2)
+                at = end + 1 if end >= 0 else n
+            else:
+                add("<")
+                at = sign + 1
             continue
-        if m[1]:
+        at, told = _tag_end(page, m.end())
+        if at < 0:
+            break  # the page ends inside this tag
+        name = m[1].lower()
+        if page[sign + 1] == "/":
             if name == "a":
                 anchors = max(0, anchors - 1)
             elif name in _BLOCK or name in _SILENT:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        anchors = 0
-                        break
-            continue
-        if name in _SILENT:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                close(name)
+        elif name in _SILENT:
+            end = _END[name].search(page, at)
+            at = _tag_end(page, end.end())[0] if end else n
+            at = at if at >= 0 else n
             parts.append(" ")
         elif name == "br":
             parts.append(" ")
@@ -138,17 +200,19 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             if name == "hr":
                 continue
-            for closed in (("p",), (name,)) if name in ("li", "option", "tr", "td", "th", "dt", "dd", "p") else (("p",),):
+            for closed in ("p", name) if name in ("li", "option", "tr", "td", "th", "dt", "dd") else ("p",):
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in closed:
-                        del stack[i:]
+                    if stack[i].tag == closed:
+                        drop_from(i)
                         break
-                    if stack[i][0] not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
+                    if stack[i].tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
                         break
-                    if name == "li" and stack[i][0] != "li":
-                        continue
-            stack.append((name, _says(m[3]) if m[3] else ()))
-        elif name not in _VOID and parts and name in ("label", "img"):
+            push(name, _says(told) or (("form",) if name == "textarea" else ()))
+            if name == "textarea":  # its content is text without tags
+                end = _END[name].search(page, at)
+                add(page[at : end.start() if end else n])
+                at = end.start() if end else n
+        elif name not in _VOID and parts and name == "label":
             parts.append(" ")
     flush()
     return out
@@ -156,13 +220,16 @@ def blocks(page: str | None) -> list[Block]:
 
 def features(page: list[Block]) -> list[list[str]]:
     out, n = [], len(page)
+    inside = [bool(b.around & {"article", "main"}) or "text" in b.said for b in page]
+    other = "outside" if any(inside) else "free"
     for i, b in enumerate(page):
         size = len(b.text)
         f = ["1", f"tag={b.tag}", f"near={b.nearest}", f"size={min(6, size.bit_length() // 2)}", f"link={int(b.linked * 3.99)}"]
         f += [f"in={t}" for t in b.around] + [f"says={s}" for s in b.said]
         f += [f"tag={b.tag}&in={t}" for t in b.around]
         f.append(f"stop={b.text[-1] in '.!?…。»”\"'}")
-        f.append(f"own={'text' if b.around & {'article', 'main'} or 'text' in b.said else 'none'}")
+        own = "text" if inside[i] else other
+        f += [f"own={own}", f"own={own}&apart={not b.around.isdisjoint(_APART) or bool(b.said - {'text'})}"]
         if i == 0 or i == n - 1:
             f.append("edge")
         out.append(f)
@@ -201,7 +268,8 @@ def sample_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]
             k = r.randrange(11)
             line = _prose(r, 3, 40)
             if k == 0:
-                return named("ads", r.choice(("div", "section", "p")), line if r.random() < 0.5 else f"<p>{line}</p>")
+                tag = r.choice(("div", "section", "p"))
+                return named("ads", tag, line if tag == "p" or r.random() < 0.5 else f"<p>{line}</p>")
             if k == 1:
                 return f"<aside>{r.choice((f'<p>{line}</p>', f'<h3>{_prose(r, 1, 3)}</h3><ul>{links(4)}</ul>', line))}</aside>"
             if k == 2:
@@ -247,13 +315,16 @@ def sample_pages(count: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]
         if r.random() < 0.25:
             body.append(talk())
         inner = "".join(body)
-        shell = r.randrange(6)
-        main = [f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", named("text", "div", inner), named("text", "section", inner), f"<article>{inner}"][shell]
+        shell = r.randrange(9)
+        mute = lambda x: f'<div{r.choice(("", f" class={_word(r)}", f" id={_word(r)}"))}>{x}</div>'  # noqa: E731  a container that says nothing
+        main = [f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", named("text", "div", inner), named("text", "section", inner), f"<article>{inner}", inner, mute(inner), mute(mute(inner))][shell]
         before, after = [], []
         if r.random() < 0.8:
             before.append(r.choice((f"<nav><ul>{links(r.randint(2, 7))}</ul></nav>", f"<header><h2>{_prose(r, 1, 4)}</h2><p>{_prose(r, 2, 12)}</p></header>", named("head", "div", f"<p>{_prose(r, 1, 8)}</p>"), named("menu", "div", f"<ul>{links(4)}</ul>"))))
         before += [noise() for _ in range(r.choice((0, 1, 1, 2)))]
         after += [noise() for _ in range(r.choice((0, 0, 1, 2)))]
+        if shell < 5 and r.random() < 0.3:  # where the text has a container, what stands outside is none even if it says nothing
+            r.choice((before, after)).append(mute(r.choice((f"<p>{_prose(r, 2, 30)}</p>", _prose(r, 2, 12)))))
         if r.random() < 0.4:
             after.append(talk())
         if r.random() < 0.85:
@@ -342,6 +413,7 @@ def main_text(model: dict, page: str | None) -> str:
 
 def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """page_id, url, text, n_chars."""
+    lean_batches(pages.sparkSession)
     model = model or train(labelled(sample_pages()))
 
     def run(batches):
@@ -349,6 +421,7 @@ def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
             texts = [main_text(model, p) for p in b["html"].to_pylist()]
             texts = [t.encode("utf-8", "replace").decode() for t in texts]  # lone surrogates cannot leave Python
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        tidy()
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
