@@ -8,11 +8,15 @@ Decoding is loss-weighted: a bit's logistic loss counts for a language as much
 as that bit's classifier is right on it; the nearest codeword wins, and a
 runner-up that is close flags the text as ambiguous.
 
-Bounds: at most ``PER_LANGUAGE`` labelled rows of each language are learned
-from, those with the smallest hash of doc_id. Defined results: ``und`` with
-score 0 for a null text or one without a letter, or if no language could be
-learned; a row with a null doc_id or lang is not learned from; extra columns
-are ignored.
+Bounds: at most ``PER_LANGUAGE`` labelled rows of each language, of at most
+``LEARN_BYTES`` bytes each, are learned from, those with the smallest hash of
+doc_id; every text is identified as a whole. Defined results: ``und`` with
+score 0 for a null text or one without a letter (Unicode category L), or if no
+language could be learned; a row with a null doc_id or lang is not learned
+from; of rows with one lang and doc_id the least text is; equal texts get equal
+results, equally near codewords the first language by name; texts of any length
+are read in pieces; an empty table gives no rows. ``identify`` replaces columns
+named lang_pred, score and ambiguous, other extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from edgeloom.llm.ngrams import buffers, has_letter, hashed
 from edgeloom.llm.workers import lean_batches, tidy
 
 PER_LANGUAGE = 500
+LEARN_BYTES = 100_000
 BITS = 16
 SMOOTH = 0.5
 AMBIGUOUS = 0.7
@@ -119,14 +124,15 @@ def decode(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray,
 
 def learn(docs: DataFrame) -> dict:
     """The model of the rows that may be learned from."""
-    open_rows = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in open_rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    open_rows = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) & F.col("lang").isNotNull() & (F.octet_length("text") <= LEARN_BYTES))
+    counts = {r["lang"]: r["n"] for r in open_rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # a row per language
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.lit(0.0)
     for name, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 1.3 * PER_LANGUAGE / n))).otherwise(share)
-    rows = open_rows.where(F.col("text").isNotNull() & (draw < share)).select("doc_id", "lang", "text", draw.alias("draw")).toPandas()
-    rows = rows.sort_values(["draw", "doc_id", "text"], kind="stable").groupby("lang", sort=True).head(PER_LANGUAGE)
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, 1.3 * PER_LANGUAGE / max(1, n)))).otherwise(share)
+    picked = open_rows.where(draw < share).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # about 1.3 PER_LANGUAGE rows a language
+    rows = picked.withColumn("draw", draw).toPandas()
+    rows = rows.sort_values(["draw", "doc_id"], kind="stable").groupby("lang", sort=True).head(PER_LANGUAGE)
     return train(rows["text"].tolist(), rows["lang"].tolist())
 
 

@@ -8,16 +8,16 @@ same in whatever batch it comes. Very long texts are cut into pieces of
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 
 PIECE = 500_000
 BATCH_BYTES = 400_000
 _PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # not the numbers that are written as letters
 
 
 def has_letter(text: str | None) -> bool:

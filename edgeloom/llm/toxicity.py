@@ -8,13 +8,16 @@ rows. A misspelling nobody has seen still shares most of its n-grams with the
 word it stands for. As the softmax is linear, a bucket's part in the score is
 one number, so scoring is one table look-up per n-gram over the whole text.
 
-Bounds: ``PER_LABEL`` labelled rows for each label are kept for the fit, the
-ones with the smallest hash of doc_id; the intercept is corrected to the
-labels' shares among all learnable rows. Defined results: a null or
-letterless text scores by the intercept alone; null doc_ids are not learned
-from; labels without a document, null labels and repeated labels of a row
-(the largest counts) are harmless; without two labels to learn from every
-score is the share of label 1 (0 if nothing is known).
+Bounds: ``PER_LABEL`` labelled rows for each label, of at most ``LEARN_BYTES``
+bytes each, are kept for the fit, the ones with the smallest hash of doc_id; the
+intercept is corrected to the labels' shares among all learnable rows. Every
+text is scored as a whole. Defined results: a null or letterless text scores by
+the intercept alone; null doc_ids are not learned from, of rows with one doc_id
+the least text is; labels without a document, null labels and repeated labels of
+a row (the largest counts) are harmless; without two labels to learn from every
+score is the share of label 1 (0 if nothing is known); equal texts get equal
+scores, null and repeated doc_ids keep their rows; texts of any length are read
+in pieces; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.ngrams import buffers, hashed, held_out
+from edgeloom.llm.workers import lean_batches, tidy
 
 PER_LABEL = (3000, 1200)
+LEARN_BYTES = 100_000
 ORDERS = (3, 4, 5)
 BITS = 18
 DIMS = 8
@@ -144,7 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> dict:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     wanted = [min(1.0, 1.25 * PER_LABEL[k] / max(1, counts.get(k, 0))) for k in (0, 1)]
     picked = marks.where(draw < F.when(F.col("y") == 1, wanted[1]).otherwise(wanted[0]))
-    rows = docs.where(open_rows & F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("draw", draw)  # picked: about 1.25 PER_LABEL rows
+    rows = docs.where(open_rows & (F.octet_length("text") <= LEARN_BYTES)).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # picked: about 1.25 PER_LABEL rows
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).withColumn("draw", draw)
     rows = rows.toPandas().sort_values(["draw", "doc_id", "text"], kind="stable")  # bounded: see wanted
     rows = pd.concat([rows[rows["y"] == k].head(PER_LABEL[k]) for k in (0, 1)])
     known = counts.get(0, 0) + counts.get(1, 0)
@@ -159,7 +165,9 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
             s = scores(model, b["text"].to_pylist())
             held = [held_out(i) for i in b["doc_id"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(held), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        tidy()
 
+    lean_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
