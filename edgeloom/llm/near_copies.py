@@ -1,23 +1,36 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Equal texts are one node, so copies cost nothing beyond their first row. A node
-has ``BANDS`` hashes of ``ROWS`` minima each; nodes that share a hash and whose
-sizes allow the similarity are candidates, and each candidate pair is decided on
-the full sets of both texts. A pair at similarity 0.8 shares no hash with chance
-(1 - 0.8 ** 4) ** 20 = 3e-5.
+The method is that of ``simhash``, meeting in the middle of the Hamming ball,
+with several short fingerprints in place of one long one: at that similarity
+0.15 of the bits of a SimHash differ, far more than three of 64. A text gets
+``tables`` fingerprints of ``bits`` bits, and two texts meet in a table where
+these differ in one bit at most: fingerprints of odd parity emit all their
+neighbours at distance one, those of even parity themselves. The variants are
+shuffled on their value; texts that share one and whose sizes and 128 further
+SimHash bits allow the similarity are candidates, and each candidate pair is
+decided on the full sets of both texts. ``bits`` follows the number of rows, so
+that a text meets few strangers, and ``tables`` follows from it: a pair at 0.8
+meets nowhere with a chance of ``MISS``.
 
-Up to ``CROWD`` nodes with one hash are all paired. In a larger crowd each is
-paired with ``HUBS`` of it only: the one that meets most others over all hashes,
-and some at random. There two members that reach the similarity with each other
-but with no hub may stay apart.
+Equal texts are one node, so copies cost nothing beyond their first row. Up to
+``CROWD`` nodes at one variant are all paired. A larger crowd is never paired
+with itself: in rounds, a few of its nodes that stand outside its largest
+component are compared with all its nodes of other components, until each node
+outside the largest component has been compared or joined it. So every pair of
+the crowd is either decided or known to be connected.
 
 Defined results: a text of fewer than five words is one shingle, a null, empty
 or blank text an empty one; null and repeated doc_ids keep their rows (a null
-never names a component unless it has no other); extra columns are ignored.
+never names a component unless it has no other); rows that are equal are one
+node; a text of any length counts with all its shingles; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,12 +42,19 @@ from edgeloom.operators.components import connected_components
 from edgeloom.plans.durable import written
 
 SHINGLE = 5
-BANDS, ROWS = 20, 4
+TURNED = math.acos(8 / 9) / math.pi  # share of the bits that differ at similarity 0.8 in sets of one size
+MISS = 0.005
+FAR = 42  # of the 128 further bits; 19 differ on average at 0.8, 64 of strangers
 CROWD = 32
-HUBS = 4
+LEADERS = 8
+LOCAL_CROWD = 64  # nodes of one batch at one variant from which on they go to the crowd's rows at once
+BATCH = 8192
+VARIANTS_PER_BUCKET = 500_000
+BROADCAST_ROWS = 400_000
+SALTS = 32
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
-_FACTORS = np.random.default_rng(8).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
+_LOW = _U(0x0101010101010101)
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -56,29 +76,47 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One hash per band."""
-    least = np.full(BANDS * ROWS, np.iinfo(_U).max, _U)
-    for at in range(0, len(found), 512):
-        np.minimum(least, (found[at : at + 512, None] * _FACTORS[None, :]).min(0), out=least)
-    out = np.arange(BANDS, dtype=_U)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = _mixed(out * _STEP + row)
-    return out
-
-
 def is_near(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def _sketch(batches):
-    for b in batches:
-        sets = [shingles(t) for t in b["text"].to_pylist()]
-        hashes = np.concatenate([bands(s) for s in sets]).view(np.int64) if sets else np.zeros(0, np.int64)
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.int32()), pa.array(hashes))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array([len(s) for s in sets], pa.int64()), listed], names=["doc_id", "key", "n", "bands"])
-    tidy()
+def shape(rows: int) -> tuple[int, int]:
+    """Bits of a fingerprint and number of tables for so many rows."""
+    bits = max(8, math.ceil(math.log2(max(2, rows))) + 1)
+    same = 1 - TURNED
+    meet = same**bits + bits * TURNED * same ** (bits - 1)
+    return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
+
+
+def sketches(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """A row of 64 * ``words`` SimHash bits (as bytes, lowest bit first) for each set."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    h = np.concatenate(sets)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    runs = -(-sizes // 255)  # eight counters of a byte each at a time; 255 hashes cannot overflow them
+    at = np.concatenate([[0], np.cumsum(runs)[:-1]])
+    start = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - np.repeat(at, runs))
+    out = np.zeros((len(sets), words * 8), np.uint8)
+    for w in range(words):
+        z = _mixed(h + _U((w + 1) * int(_STEP) % (1 << 64)))
+        for j in range(8):
+            sums = np.add.reduceat((z >> _U(j)) & _LOW, start).astype("<u8")
+            counts = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), at, axis=0, dtype=np.int64)
+            out[:, 8 * w : 8 * w + 8] |= (2 * counts > sizes[:, None]).astype(np.uint8) << j
+    return out
+
+
+def _sketch(words: int):
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                sets = [shingles(t) for t in b["text"].to_pylist()]
+                rows = sketches(sets, words)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "key", "n", "sketch"])
+        tidy()
+
+    return run
 
 
 def _sets(batches):
@@ -94,34 +132,192 @@ def _decide(batches):
     tidy()
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """src < dst: pairs of nodes (key, n, bands) to decide."""
-    met = nodes.select("key", "n", F.explode("bands").alias("band"))
-    sizes = met.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = written(met.join(sizes, "band"), "met")
-    few = met.where(F.col("size") <= CROWD).select("band", "key", "n")
-    paired = few.join(few.select("band", F.col("key").alias("other"), F.col("n").alias("m")), "band").where("key < other")
-    crowd = met.where(F.col("size") > CROWD)
-    crowd = crowd.join(crowd.groupBy("key").agg(F.sum("size").alias("meets")), "key")
-    me = F.struct(F.col("key").alias("other"), F.col("n").alias("m"))
-    picks = [F.max_by(me, F.struct("meets", "key")), *[F.min_by(me, F.xxhash64("key", F.lit(k))) for k in range(1, HUBS)]]
-    hubs = crowd.groupBy("band").agg(F.array(*picks).alias("hubs"))
-    starred = crowd.join(hubs, "band").select("band", "key", "n", F.explode(F.array_distinct("hubs")).alias("h")).select("band", "key", "n", "h.other", "h.m").where("key <> other")
-    both = paired.select("key", "n", "other", "m").unionAll(starred.select("key", "n", "other", "m"))
-    return both.where("5 * least(n, m) >= 4 * greatest(n, m)").select(F.least("key", "other").alias("src"), F.greatest("key", "other").alias("dst")).distinct()
-
-
-def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """src, dst: near copies among the nodes; ``docs`` (key, text) has their texts."""
-    pairs = written(_candidates(nodes), "pairs")
-    wanted = pairs.select(F.col("src").alias("key")).unionAll(pairs.select(F.col("dst").alias("key"))).distinct()
-    texts = docs.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    held = written(texts.mapInArrow(_sets, "key long, held binary"), "held")
-    sided = pairs.join(held.select(F.col("key").alias("src"), F.col("held").alias("held_a")), "src")
-    sided = sided.join(held.select(F.col("key").alias("dst"), F.col("held").alias("held_b")), "dst")
+def variants(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, node) of the balls of half the radius; ``values`` has a row per node, a column per table, a slot is table and value."""
+    node, table = np.divmod(np.arange(values.size), values.shape[1])
+    slot = (table << bits) | values.ravel()
+    odd = np.bitwise_count(values.ravel().astype(_U)) % 2 == 1
+    turned = slot[odd][:, None] ^ (np.int64(1) << np.arange(bits, dtype=np.int64))[None, :]
+    return np.concatenate([slot[~odd], turned.ravel()]), np.concatenate([node[~odd], np.repeat(node[odd], bits)])
+
+
+_DEALT = "bucket long, keys binary, sizes binary, checks binary, slots binary, who binary, hot binary"
+_MET = "slot long, key long, n long, c0 long, c1 long, other long"
+
+
+def _emit(bits: int, tables: int, split: int):
+    """A row per batch and bucket: its nodes, and the variants by node. Buckets from ``tables << split`` on hold crowds' rows, in turns."""
+    deals = tables << split
+
+    def rows_of(keys, sizes, sketch, turn):
+        flat = np.unpackbits(sketch, axis=1, bitorder="little")[:, : bits * tables].reshape(len(keys), tables, bits)
+        checks = np.ascontiguousarray(sketch[:, -16:]).view("<u8")
+        slot, who = variants((flat.astype(np.int64) << np.arange(bits, dtype=np.int64)).sum(2), bits)
+        order = np.argsort(slot, kind="stable")
+        slot, who = slot[order], who[order]
+        start = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        size = np.diff(np.append(start, len(slot)))
+        hot = np.repeat(size > LOCAL_CROWD, size)
+        hot_slots = slot[start[size > LOCAL_CROWD]]
+        for crowd in (False, True):
+            own, mine = slot[hot == crowd], who[hot == crowd]
+            home = own >> (bits - split)
+            marks = hot_slots >> (bits - split)
+            for b in np.union1d(home, [] if crowd else marks).astype(np.int64).tolist():
+                lo, hi = np.searchsorted(home, [b, b + 1])
+                ids, inverse = np.unique(mine[lo:hi], return_inverse=True)
+                base = b << (bits - split)
+                marked = (hot_slots[marks == b] - base).astype("<u4")
+                yield (b + deals * (1 + turn % 16) if crowd else b, keys[ids].tobytes(), sizes[ids].astype("<u4").tobytes(), checks[ids].tobytes(), (own[lo:hi] - base).astype("<u4").tobytes(), inverse.astype("<u2").tobytes(), b"" if crowd else marked.tobytes())
+
+    def run(batches):
+        held, count, turn = [], 0, 0
+
+        def dealt():
+            got = pa.Table.from_batches(held)
+            sketch = np.frombuffer(b"".join(got["sketch"].to_pylist()), np.uint8).reshape(got.num_rows, -1)
+            cols = list(zip(*rows_of(got["key"].to_numpy(), got["n"].to_numpy(), sketch, turn), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[f.split()[0] for f in _DEALT.split(", ")])
+
+        for b in batches:
+            for at in range(0, b.num_rows, BATCH):
+                held.append(b.slice(at, BATCH))
+                count += held[-1].num_rows
+                if count >= BATCH // 2:
+                    yield dealt()
+                    held, count, turn = [], 0, turn + 1
+        if held:
+            yield dealt()
+        tidy()
+
+    return run
+
+
+def may_be_near(n: np.ndarray, checks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    fits = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
+    return fits & (np.bitwise_count(checks[a] ^ checks[b]).sum(1, dtype=np.int64) <= FAR)
+
+
+def _meet(bits: int, tables: int, split: int, crowd: int):
+    """Candidate pairs (slot -1), and the members of crowds."""
+    deals = tables << split
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        cat = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
+        keys, sizes, checks = cat("keys", "<i8"), cat("sizes", "<u4").astype(np.int64), cat("checks", "<u8").reshape(-1, 2)
+        slots = cat("slots", "<u4").astype(np.int64) + ((bucket % deals) << (bits - split))
+        per = [len(x) // 8 for x in table["keys"].to_pylist()]
+        counts = [len(x) // 2 for x in table["who"].to_pylist()]
+        who = cat("who", "<u2").astype(np.int64) + np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), counts)
+        pairs = [np.zeros((0, 2), np.int64)]
+        if bucket >= deals:
+            members = np.arange(len(slots))
+        else:
+            order = np.argsort(slots, kind="stable")
+            slots, who = slots[order], who[order]
+            start = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(slots)))
+            large = (size > crowd) | np.isin(slots[start], cat("hot", "<u4").astype(np.int64) + (bucket << (bits - split)))
+            members = np.flatnonzero(np.repeat(large, size))
+            for s in np.unique(size[~large & (size > 1)]).tolist():
+                i, j = np.triu_indices(s, 1)
+                runs = start[~large & (size == s)]
+                for at in range(0, len(runs), max(1, 400_000 // len(i))):
+                    some = runs[at : at + max(1, 400_000 // len(i)), None]
+                    a, b = who[(some + i).ravel()], who[(some + j).ravel()]
+                    ok = may_be_near(sizes, checks, a, b)
+                    pairs.append(np.stack([keys[a[ok]], keys[b[ok]]], 1))
+        found = np.concatenate(pairs)
+        found = np.unique(np.sort(found, 1), axis=0)
+        m, node = len(members), who[members]
+        zero = np.zeros(len(found), np.int64)
+        cols = [
+            np.concatenate([zero - 1, slots[members]]),
+            np.concatenate([found[:, 0], keys[node]]),
+            np.concatenate([zero, sizes[node]]),
+            np.concatenate([zero, checks[node, 0].view(np.int64)]),
+            np.concatenate([zero, checks[node, 1].view(np.int64)]),
+            np.concatenate([found[:, 1], np.zeros(m, np.int64)]),
+        ]
+        del keys, sizes, checks, slots, who
+        tidy()
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in _MET.split(", ")])
+
+    return run
+
+
+def _met(nodes: DataFrame, rows: int) -> DataFrame:
+    """Written table of candidate pairs (slot -1) and crowds' members."""
+    bits, tables = shape(rows)
+    total = rows * tables * (bits + 1) // 2
+    split = min(bits - 1, max(0, math.ceil(math.log2(max(1, total / tables / VARIANTS_PER_BUCKET)))))
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BATCH))
+    dealt = nodes.select("key", "n", "sketch").repartition(parts, "key").mapInArrow(_emit(bits, tables, split), _DEALT)
+    return written(dealt.groupBy("bucket").applyInArrow(_meet(bits, tables, split, CROWD), _MET), "met")
+
+
+def _held(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Written table key, held (the shingles) of the wanted nodes. Texts are moved only where the nodes are too many to be sent to all."""
+    chosen = written(nodes.join(wanted, "key", "left_semi").select(F.col("key").alias("_key"), "least"), "chosen")
+    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    texts = docs.join(side, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("key", "text")
+    sets = texts.mapInArrow(_sets, "key long, held binary")
+    return written(sets.groupBy("key").agg(F.first("held").alias("held")), "held")
+
+
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """src, dst: the pairs (key, other) that are near. One ``other`` may stand in very many pairs, so it is met in ``SALTS`` places."""
+    salted = pairs.select(F.col("key").alias("src"), F.col("other").alias("dst"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    hubs = salted.select("dst", "salt").distinct().join(held.select(F.col("key").alias("dst"), F.col("held").alias("held_b")), "dst")
+    sided = salted.join(held.select(F.col("key").alias("src"), F.col("held").alias("held_a")), "src").join(hubs, ["dst", "salt"])
     return sided.select("src", "dst", "held_a", "held_b").mapInArrow(_decide, "src long, dst long")
 
 
+def _crowd_links(crowd: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``links`` and those that are found in crowds."""
+    led, tried, first = None, None, True
+    while True:
+        comp = connected_components(links).withColumnRenamed("id", "key")
+        state = crowd.join(comp, "key", "left").select("slot", "key", "n", "c0", "c1", F.coalesce("comp", "key").alias("root"))
+        roots = state.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("m"))
+        top = roots.groupBy("slot").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("slot", "top")
+        crowd = written(state.join(top, "slot"), "crowd")  # slots of one component are done
+        rest = crowd.where("root <> top")
+        if led is not None:
+            rest = rest.join(led, ["slot", "key"], "left_anti")
+        me = F.struct("key", "n", "c0", "c1", "root")
+        picks = [F.min_by(me, F.xxhash64("key", F.lit(k))) for k in range(1 if first else LEADERS)]
+        hubs = written(rest.groupBy("slot").agg(F.array_distinct(F.array(*picks)).alias("h")).select("slot", F.explode("h").alias("h")).select("slot", "h.*"), "leaders")
+        if hubs.isEmpty():
+            return links
+        spread = hubs.select("slot", *[F.col(c).alias(f"{c}_") for c in ("key", "n", "c0", "c1", "root")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        both = crowd.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(spread, ["slot", "salt"]).where("root <> root_")
+        far = F.bit_count(F.col("c0").bitwiseXOR(F.col("c0_"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("c1_")))
+        pairs = both.where((5 * F.least("n", "n_") >= 4 * F.greatest("n", "n_")) & (far <= FAR)).select("key", F.col("key_").alias("other")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["key", "other"], "left_anti")
+        pairs = written(pairs, "pairs")
+        links = written(links.unionAll(verify(pairs)), "links")
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        own = hubs.select("slot", "key")
+        led, first = own if led is None else led.unionAll(own), False
+        crowd = crowd.select("slot", "key", "n", "c0", "c1")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
+    """src, dst: links that keep the components of near copies among the nodes (key, least, n, sketch); ``docs`` (doc_id, key, text) has their texts."""
+    met = _met(nodes, rows)
+    pairs = written(met.where("slot = -1").select("key", "other").distinct(), "pairs")
+    crowd = met.where("slot >= 0").select("slot", "key", "n", "c0", "c1")
+    wanted = pairs.select("key").unionAll(pairs.select("other")).unionAll(crowd.select("key")).distinct()
+    held = _held(docs, nodes, wanted)
+    links = written(_verified(pairs, held), "links")
+    if crowd.isEmpty():
+        return links
+    return _crowd_links(crowd, links, lambda some: _verified(some, held))
+
+
 def text_key() -> Column:
     """A hash of column ``text`` (null: empty)."""
     return F.xxhash64(F.coalesce("text", F.lit("")))
@@ -130,11 +326,14 @@ def text_key() -> Column:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, key (``text_key``), root (a key of the component), component_id (the smallest doc_id reachable over near copies)."""
     lean_batches(docs.sparkSession)
+    rows = docs.count()
+    bits, tables = shape(rows)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), text.alias("text"))
-    marks = written(keyed.mapInArrow(_sketch, "doc_id long, key long, n long, bands array<long>"), "marks")
-    nodes = written(marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    comp = connected_components(near_links(keyed.select("key", "text"), nodes)).withColumnRenamed("id", "key")
+    words = -(-bits * tables // 64) + 2
+    marks = written(keyed.mapInArrow(_sketch(words), "doc_id long, key long, n long, sketch binary"), "marks")
+    nodes = written(marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    comp = connected_components(near_links(keyed, nodes, rows)).withColumnRenamed("id", "key")
     rooted = nodes.select("key", "least").join(comp, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = rooted.join(named, "root").select("key", "root", "component_id")
