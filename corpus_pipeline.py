@@ -14,6 +14,7 @@ from edgeloom.llm import decontaminate, language, near_copies, packing, suffix_d
 from edgeloom.plans.durable import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NONE = (1 << 63) - 1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +25,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard of 0.8 at least) the row with the smallest doc_id stays (null is the largest)."""
+    """Of each group of near copies (SimHash, then five-word shingles with a Jaccard of 0.8 at least) the row with the smallest doc_id stays (null is the largest; of rows with one text and doc_id the first by source, lang and n_chars)."""
     docs = docs.select(*COLUMNS)
     groups = near_copies.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_key"))
-    named = docs.withColumn("key", near_copies.text_key()).join(first, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    again = Window.partitionBy("key", "doc_id").orderBy("source", "lang", "n_chars")
-    return named.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*COLUMNS)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("_key"), F.coalesce("m.doc_id", F.lit(NONE)).alias("_id"))
+    named = docs.withColumn("_key", near_copies.text_key()).withColumn("_id", F.coalesce("doc_id", F.lit(NONE)))
+    again = Window.partitionBy("_key", "_id").orderBy(F.col("doc_id").isNull(), "source", "lang", "n_chars")  # dealt as the join has dealt the rows: texts move once
+    return named.join(first, ["_key", "_id"], "left_semi").withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*COLUMNS)
 
 
 def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
