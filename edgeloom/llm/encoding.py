@@ -5,7 +5,8 @@ Runs of non-space characters, each with at most one space before it (cut once
 more behind a leading word of Latin letters), and the white space between them
 are unions of such segments, so a text's ids are its segments' ids in a row. Words
 repeat, so a worker keeps the ids of the short segments it has met lately (two
-generations of about ``KEPT_BYTES`` each, whatever the texts hold). Texts with the few control
+generations of ``KEPT`` segments of at most ``SHORT`` characters, which bounds
+their bytes whatever the texts hold). Texts with the few control
 characters on which the two libraries' ideas of white space differ, and texts
 that hold the string of an added token, are encoded whole.
 """
@@ -18,9 +19,8 @@ from array import array
 
 import numpy as np
 
-KEPT_BYTES = 48_000_000
-SHORT = 64  # characters of a segment worth keeping
-ENTRY = 200  # bytes that an entry takes beside its characters and ids
+KEPT = 400_000
+SHORT = 64
 _SEGMENT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-@\[-`{-~]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -34,6 +34,7 @@ def _byte_signs() -> dict[int, str]:
 
 
 _BYTE_SIGNS = _byte_signs()
+_BLANK = _BYTE_SIGNS[32]
 
 
 def default_tokenizer() -> str:
@@ -46,13 +47,12 @@ class _Segments(dict):
     """Bytes of the ids of each segment met; one that is not there yet is encoded when it is asked for."""
 
     def __init__(self, encoder: Encoder, old: dict[str, bytes]):
-        self.encoder, self.old, self.held = encoder, old, 0
+        self.encoder, self.old = encoder, old
 
     def __missing__(self, segment: str) -> bytes:
         got = self.old.get(segment) or self.encoder.encoded(segment)
         if len(segment) <= SHORT:
             self[segment] = got
-            self.held += ENTRY + len(segment) + len(got)
         return got
 
 
@@ -69,6 +69,9 @@ class Encoder:
 
     def encoded(self, segment: str) -> bytes:
         """A single word goes to the model itself, anything else through the whole tokenizer."""
+        if segment.isascii() and segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()):
+            units = _BLANK + segment[1:] if segment[0] == " " else segment
+            return array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
         if _WORD.match(segment):
             units = segment.encode().decode("latin-1").translate(_BYTE_SIGNS)
             return array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
@@ -80,7 +83,7 @@ class Encoder:
             return np.zeros(0, np.uint32)
         if _ODD.search(text) or self.added and self.added.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if self.seen.held > KEPT_BYTES:
+        if len(self.seen) > KEPT:
             self.seen = _Segments(self, dict(self.seen))
         return np.frombuffer(b"".join(map(self.seen.__getitem__, _SEGMENT.findall(text))), "<u4")
 
