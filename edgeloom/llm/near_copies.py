@@ -6,16 +6,16 @@ with several short fingerprints in place of one long one: at that similarity
 ``tables`` fingerprints of ``bits`` bits, and two texts meet in a table where
 these differ in one bit at most: fingerprints of odd parity emit all their
 neighbours at distance one, those of even parity themselves. The variants are
-shuffled on their value; texts that share one and whose sizes and 128 further
-SimHash bits allow the similarity are candidates, and each candidate pair is
-decided on the full sets of both texts. ``bits`` follows the number of rows, so
+shuffled on their value; texts that share one and whose sizes and SimHash bits
+in all allow the similarity are candidates, and each candidate pair is decided
+on the full sets of both texts. ``bits`` follows the number of rows, so
 that a text meets few strangers, and ``tables`` follows from it: a pair at 0.8
 meets nowhere with a chance of ``MISS``.
 
 Equal texts are one node, so copies cost nothing beyond their first row. Up to
 ``CROWD`` nodes at one variant are all paired. A larger crowd is never paired
-with itself: in rounds, a few of its nodes that stand outside its largest
-component are compared with all its nodes of other components, until each node
+with itself: in rounds, some of its nodes (first the one that meets most others
+anywhere) are compared with all its nodes of other components, until each node
 outside the largest component has been compared or joined it. So every pair of
 the crowd is either decided or known to be connected.
 
@@ -44,9 +44,10 @@ from edgeloom.plans.durable import written
 SHINGLE = 5
 TURNED = math.acos(8 / 9) / math.pi  # share of the bits that differ at similarity 0.8 in sets of one size
 MISS = 0.005
-FAR = 42  # of the 128 further bits; 19 differ on average at 0.8, 64 of strangers
+FAR = 36  # of the 128 further bits; at 0.8 19 differ with a deviation of 4, of strangers 64
+CERTAIN = 3.5  # deviations from the mean at which the whole sketch rules a pair out
 CROWD = 32
-LEADERS = 8
+LEADERS = (4, 64)  # of a crowd, in the first and in a later round
 LOCAL_CROWD = 64  # nodes of one batch at one variant from which on they go to the crowd's rows at once
 BATCH = 8192
 VARIANTS_PER_BUCKET = 500_000
@@ -125,10 +126,32 @@ def _sets(batches):
     tidy()
 
 
+def _likely(bits: int):
+    """Of pairs with both sketches those that their first ``bits`` bits leave open."""
+    most = bits * (TURNED + CERTAIN * math.sqrt(TURNED * (1 - TURNED) / bits))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("a", "b"))
+                yield b.select(["src", "dst", "salt"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most))
+        tidy()
+
+    return run
+
+
 def _decide(batches):
+    """Rows come by dst and salt, the shingles of dst (kind 0) before those of its partners (kind 1)."""
+    head = None
     for b in batches:
-        near = [is_near(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(b["held_a"], b["held_b"], strict=True)]
-        yield b.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+        out: list[tuple[int, int]] = []
+        for dst, kind, src, held in zip(b["dst"].to_pylist(), b["kind"].to_pylist(), b["src"].to_pylist(), b["held"], strict=True):
+            found = np.frombuffer(held.as_buffer(), _U)
+            if kind == 0:
+                head = found.copy()
+            elif is_near(head, found):
+                out.append((src, dst))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
     tidy()
 
 
@@ -202,8 +225,7 @@ def _meet(bits: int, tables: int, split: int, crowd: int):
     """Candidate pairs (slot -1), and the members of crowds."""
     deals = tables << split
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
+    def met(bucket: int, table: pa.Table) -> pa.RecordBatch:
         cat = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
         keys, sizes, checks = cat("keys", "<i8"), cat("sizes", "<u4").astype(np.int64), cat("checks", "<u8").reshape(-1, 2)
         slots = cat("slots", "<u4").astype(np.int64) + ((bucket % deals) << (bits - split))
@@ -240,9 +262,18 @@ def _meet(bits: int, tables: int, split: int, crowd: int):
             np.concatenate([zero, checks[node, 1].view(np.int64)]),
             np.concatenate([found[:, 1], np.zeros(m, np.int64)]),
         ]
-        del keys, sizes, checks, slots, who
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in _MET.split(", ")])
+
+    def run(batches):
+        """All rows of a bucket are in one partition, which holds few buckets."""
+        held: dict[int, list] = {}
+        for b in batches:
+            buckets = b["bucket"].to_pylist()
+            for k in set(buckets):
+                held.setdefault(k, []).append(b.filter(pa.array([x == k for x in buckets])))
+        for k in sorted(held):
+            yield met(k, pa.Table.from_batches(held.pop(k)))
         tidy()
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in _MET.split(", ")])
 
     return run
 
@@ -254,41 +285,56 @@ def _met(nodes: DataFrame, rows: int) -> DataFrame:
     split = min(bits - 1, max(0, math.ceil(math.log2(max(1, total / tables / VARIANTS_PER_BUCKET)))))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BATCH))
     dealt = nodes.select("key", "n", "sketch").repartition(parts, "key").mapInArrow(_emit(bits, tables, split), _DEALT)
-    return written(dealt.groupBy("bucket").applyInArrow(_meet(bits, tables, split, CROWD), _MET), "met")
+    return written(dealt.repartition("bucket").mapInArrow(_meet(bits, tables, split, CROWD), _MET), "met")
 
 
 def _held(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Written table key, held (the shingles) of the wanted nodes. Texts are moved only where the nodes are too many to be sent to all."""
-    chosen = written(nodes.join(wanted, "key", "left_semi").select(F.col("key").alias("_key"), "least"), "chosen")
-    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    chosen = written(nodes.join(wanted, "key", "left_semi").select(F.col("key").alias("_key"), "least", "alike"), "chosen")
+    count, alike = chosen.agg(F.count(F.lit(1)), F.max("alike")).head()
+    side = F.broadcast(chosen) if count <= BROADCAST_ROWS else chosen
     texts = docs.join(side, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("key", "text")
     sets = texts.mapInArrow(_sets, "key long, held binary")
-    return written(sets.groupBy("key").agg(F.first("held").alias("held")), "held")
+    return written(sets if alike == 1 else sets.groupBy("key").agg(F.first("held").alias("held")), "held")  # rows that are equal in doc_id and text come in numbers
+
 
+def _verified(pairs: DataFrame, held: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
+    """src, dst: the pairs (key, other) that are near.
 
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """src, dst: the pairs (key, other) that are near. One ``other`` may stand in very many pairs, so it is met in ``SALTS`` places."""
-    salted = pairs.select(F.col("key").alias("src"), F.col("other").alias("dst"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
-    hubs = salted.select("dst", "salt").distinct().join(held.select(F.col("key").alias("dst"), F.col("held").alias("held_b")), "dst")
-    sided = salted.join(held.select(F.col("key").alias("src"), F.col("held").alias("held_a")), "src").join(hubs, ["dst", "salt"])
-    return sided.select("src", "dst", "held_a", "held_b").mapInArrow(_decide, "src long, dst long")
+    Sketches leave few pairs that are not; of these one side travels to the
+    other. One ``other`` may stand in very many pairs, so it is met in ``SALTS``
+    places.
+    """
+    salted = pairs.select(F.col("key").alias("src"), F.col("other").alias("dst"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    marked = salted.select("dst", "salt").distinct().join(nodes.select(F.col("key").alias("dst"), F.col("sketch").alias("b")), "dst")
+    both = salted.join(nodes.select(F.col("key").alias("src"), F.col("sketch").alias("a")), "src").join(marked, ["dst", "salt"])
+    likely = written(both.mapInArrow(_likely(bits), "src long, dst long, salt int"), "likely")
+    heads = likely.select("dst", "salt").distinct().join(held.withColumnRenamed("key", "dst"), "dst").select("dst", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("src"), "held")
+    members = likely.join(held.withColumnRenamed("key", "src"), "src").select("dst", "salt", F.lit(1).alias("kind"), "src", "held")
+    dealt = heads.unionByName(members).repartition("dst", "salt").sortWithinPartitions("dst", "salt", "kind")
+    return dealt.mapInArrow(_decide, "src long, dst long")
 
 
 def _crowd_links(crowd: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``links`` and those that are found in crowds."""
     led, tried, first = None, None, True
+    crowd = written(crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("meets")), "key"), "crowd")
     while True:
         comp = connected_components(links).withColumnRenamed("id", "key")
-        state = crowd.join(comp, "key", "left").select("slot", "key", "n", "c0", "c1", F.coalesce("comp", "key").alias("root"))
+        state = crowd.join(comp, "key", "left").select("slot", "key", "n", "c0", "c1", "meets", F.coalesce("comp", "key").alias("root"))
         roots = state.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("m"))
         top = roots.groupBy("slot").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("slot", "top")
         crowd = written(state.join(top, "slot"), "crowd")  # slots of one component are done
         rest = crowd.where("root <> top")
         if led is not None:
             rest = rest.join(led, ["slot", "key"], "left_anti")
-        me = F.struct("key", "n", "c0", "c1", "root")
-        picks = [F.min_by(me, F.xxhash64("key", F.lit(k))) for k in range(1 if first else LEADERS)]
-        hubs = written(rest.groupBy("slot").agg(F.array_distinct(F.array(*picks)).alias("h")).select("slot", F.explode("h").alias("h")).select("slot", "h.*"), "leaders")
+        if first:  # nothing is known yet of a largest component
+            rest = crowd
+        many = rest.groupBy("slot").agg(F.count(F.lit(1)).alias("_c"), F.max(F.struct("meets", "key")).alias("_most"))
+        draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)  # one order for all slots, so that their leaders are the same
+        some = LEADERS[0] if first else LEADERS[1]
+        hubs = rest.join(many, "slot").where((F.col("key") == F.col("_most.key")) | (draw < some / F.col("_c")))
+        hubs = written(hubs.select("slot", "key", "n", "c0", "c1", "root"), "leaders")
         if hubs.isEmpty():
             return links
         spread = hubs.select("slot", *[F.col(c).alias(f"{c}_") for c in ("key", "n", "c0", "c1", "root")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -302,20 +348,21 @@ def _crowd_links(crowd: DataFrame, links: DataFrame, verify: Callable[[DataFrame
         tried = pairs if tried is None else tried.unionAll(pairs)
         own = hubs.select("slot", "key")
         led, first = own if led is None else led.unionAll(own), False
-        crowd = crowd.select("slot", "key", "n", "c0", "c1")
+        crowd = crowd.drop("root", "top")
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
-    """src, dst: links that keep the components of near copies among the nodes (key, least, n, sketch); ``docs`` (doc_id, key, text) has their texts."""
+    """src, dst: links that keep the components of near copies among the nodes (key, least, alike, n, sketch); ``docs`` (doc_id, key, text) has their texts."""
     met = _met(nodes, rows)
     pairs = written(met.where("slot = -1").select("key", "other").distinct(), "pairs")
     crowd = met.where("slot >= 0").select("slot", "key", "n", "c0", "c1")
     wanted = pairs.select("key").unionAll(pairs.select("other")).unionAll(crowd.select("key")).distinct()
     held = _held(docs, nodes, wanted)
-    links = written(_verified(pairs, held), "links")
+    bits = math.prod(shape(rows)) + 128
+    links = written(_verified(pairs, held, nodes, bits), "links")
     if crowd.isEmpty():
         return links
-    return _crowd_links(crowd, links, lambda some: _verified(some, held))
+    return _crowd_links(crowd, links, lambda some: _verified(some, held, nodes, bits))
 
 
 def text_key() -> Column:
@@ -332,7 +379,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), text.alias("text"))
     words = -(-bits * tables // 64) + 2
     marks = written(keyed.mapInArrow(_sketch(words), "doc_id long, key long, n long, sketch binary"), "marks")
-    nodes = written(marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    who = marks.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("alike"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "alike", "n", "sketch")).alias("m")
+    nodes = written(who.groupBy("key").agg(least).select("key", F.col("m.doc_id").alias("least"), "m.alike", "m.n", "m.sketch"), "nodes")
     comp = connected_components(near_links(keyed, nodes, rows)).withColumnRenamed("id", "key")
     rooted = nodes.select("key", "least").join(comp, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
