@@ -1,16 +1,23 @@
 """Balanced label propagation: linked documents move to their neighbours' shard under byte quotas.
 
 Documents with equal texts are linked through a node for their text, so a
-group of k copies has k links, not k squared. Each round counts, per text
-node, the bytes that every shard holds (pre-aggregated, so a text with a third
-of all rows is no hot key), proposes the fullest shard to the other members
-and accepts as many moves as the shard's quota has room for. Members of a text
-that is larger than a quota are accepted one by one, all others as a group.
+group of k copies has k links, not k squared. Copies are first added up by text
+and one of ``LANES`` lanes (a hash of doc_id), and lanes are what moves: a text
+with a third of all rows has ``LANES`` rows from there on and no key is hot.
+
+Each round counts, per text node, the bytes that every shard holds, proposes
+the fullest shard that still has room to the lanes of that text which stand
+where less of it is (or as much, but no room for more), and accepts as many moves as the quota has room for. Lanes
+of a text that is larger than an eighth of a quota are accepted one by one, all
+others as a group. Rounds end when one moves nothing (or after ``rounds``; a
+move only ever brings more of a text together, so this is a matter of time).
 Unlinked documents level the shards at the end by a running sum.
 
 Defined results: a null text counts as empty (size 1, crc 0); null and
-repeated doc_ids keep their rows; an empty table gives an empty result; extra
-columns are ignored.
+repeated doc_ids keep their rows (rows that share doc_id and text may change
+places with each other); shards that tie are taken by number; a text of any
+length is one row; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +30,8 @@ from edgeloom.plans.durable import forget, written
 from edgeloom.plans.ranking import buckets_for, global_row_number, running_offsets
 
 LAW = "bytes"
+LANES = 1024
+FULL = 0.002  # of a quota: a shard with less room takes part no more
 
 
 def _unit(*cols):
@@ -72,7 +81,40 @@ def _fill(pool: DataFrame, room: list[int]) -> DataFrame:
     return pool.withColumn("shard", where.cast("int"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 3) -> DataFrame:
+def cut_links(units: DataFrame) -> int:
+    """Links to a text node whose document stands outside the shard that holds most of the text."""
+    per = units.groupBy("text_key", "shard").agg(F.sum("copies").alias("c")).groupBy("text_key").agg((F.sum("c") - F.max("c")).alias("cut"))
+    return int(per.agg(F.coalesce(F.sum("cut"), F.lit(0))).head()[0])
+
+
+def propagated(units: DataFrame, quota: float, shards: int, rounds: int) -> DataFrame:
+    """Written table of ``units`` (text_key, lane, size, group_size, copies, shard) after rounds of propagation."""
+    units = written(units, "units")
+    for turn in range(rounds):
+        held = _by_shard(units, shards)
+        room = [max(0.0, quota - h) for h in held]
+        is_open = F.col("shard").isin(*[s for s in range(shards) if room[s] >= FULL * quota])
+        votes = units.groupBy("text_key", "shard").agg(F.sum("size").alias("w"))
+        best = votes.where(is_open).groupBy("text_key").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("m")).select("text_key", (-F.col("m.s")).cast("int").alias("best"), F.col("m.w").alias("best_w"))
+        asked = units.join(best, "text_key", "left").join(votes.withColumnRenamed("w", "own_w"), ["text_key", "shard"])
+        nearer = (F.col("best_w") > F.col("own_w")) | (F.col("best_w") == F.col("own_w")) & ((F.col("best") < F.col("shard")) | ~is_open)
+        asked = written(asked.withColumn("asks", F.coalesce(nearer, F.lit(False))).drop("best_w", "own_w"), "asked")
+        wanted = {r["best"]: r["w"] for r in asked.where("asks").groupBy("best").agg(F.sum("size").alias("w")).collect()}  # a row per shard
+        share = [min(1.0, room[s] / wanted[s]) if wanted.get(s) else 0.0 for s in range(shards)]
+        fits = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("best") + 1)
+        draw = F.when(F.col("group_size") > quota / 8, _unit("text_key", "lane", F.lit(turn))).otherwise(_unit("text_key", F.lit(turn)))
+        moves = F.col("asks") & (draw < fits)
+        moved = written(asked.select("text_key", "lane", "size", "group_size", "copies", F.when(moves, F.col("best")).otherwise(F.col("shard")).alias("shard"), moves.alias("moved")), "units")
+        forget(units)
+        forget(asked)
+        done = moved.where("moved").isEmpty()
+        units = moved
+        if done:
+            break
+    return units
+
+
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 30) -> DataFrame:
     """doc_id, size, text_crc32, text_key, shard, slot, linked (has a neighbour)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     nodes = written(
@@ -81,34 +123,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 3) -> DataF
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.md5(text.cast("binary")).alias("text_key"),
+            F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7)), F.lit(LANES)).cast("int").alias("lane"),
         ),
         "nodes",
     )
     rows, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).head()
     n_buckets, quota = buckets_for(rows), total / shards
-    groups = nodes.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("group_size")).where("copies > 1")
-    nodes = nodes.join(groups.select("text_key", "group_size"), "text_key", "left")
-    home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7)), F.lit(shards)).cast("int")
-    linked = written(nodes.where("group_size is not null").withColumn("shard", home), "linked")
-    singles = nodes.where("group_size is null").select("doc_id", "size", "text_crc32", "text_key")
-
-    for turn in range(rounds):
-        held = _by_shard(linked, shards)
-        votes = linked.groupBy("text_key", "shard").agg(F.sum("size").alias("w"))
-        best = votes.groupBy("text_key").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("m")).select("text_key", (-F.col("m.s")).cast("int").alias("best"))
-        asked = linked.join(best, "text_key").withColumn("moves", F.col("best") != F.col("shard"))
-        asked = written(asked, "asked")
-        wanted = {r["best"]: r["w"] for r in asked.where("moves").groupBy("best").agg(F.sum("size").alias("w")).collect()}
-        if not wanted:
-            forget(asked)
-            break
-        share = [min(1.0, max(0.0, quota - held[s]) / wanted[s]) if wanted.get(s) else 0.0 for s in range(shards)]
-        fits = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("best") + 1)
-        draw = F.when(F.col("group_size") > quota / 8, _unit("doc_id", "text_key", F.lit(turn))).otherwise(_unit("text_key", F.lit(turn)))
-        moved = asked.withColumn("shard", F.when(F.col("moves") & (draw < fits), F.col("best")).otherwise(F.col("shard"))).drop("best", "moves")
-        last, linked = linked, written(moved, "linked")
-        forget(last)
-        forget(asked)
+    lanes = written(nodes.groupBy("text_key", "lane").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("copies")), "lanes")
+    groups = lanes.groupBy("text_key").agg(F.sum("copies").alias("all_copies"), F.sum("size").alias("group_size")).where("all_copies > 1").select("text_key", "group_size")
+    home = F.pmod(F.xxhash64("text_key", "lane"), F.lit(shards)).cast("int")
+    units = propagated(lanes.join(groups, "text_key").withColumn("shard", home), quota, shards, rounds)
+    named = nodes.join(units.select("text_key", "lane", F.col("shard")), ["text_key", "lane"], "left")
+    named = written(named.select("doc_id", "size", "text_crc32", "text_key", "shard"), "named")
+    linked, singles = named.where("shard is not null"), named.where("shard is null").drop("shard")
 
     # A shard that holds more than its quota gives single documents back to the pool.
     held = _by_shard(linked, shards)
