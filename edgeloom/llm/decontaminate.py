@@ -10,13 +10,17 @@ compared place by place, and the document is contaminated if some window of
 The mask 11011 alone meets every window of 20 words with up to four
 substitutions (all 4,845 patterns were tried); both masks meet all that items
 of 15 words or more may differ in. If there are items below that, three masks
-more are used for all, and no pattern is missed from five words on. Documents are not shuffled: their seeds meet the item seeds
-in a map-side join as long as the items are below ``BROADCAST_BYTES``; beyond,
-narrow seed rows are shuffled and only documents with hits are read again.
+more are used for all, and no pattern is missed from five words on. Documents
+are not shuffled: their seeds meet the item seeds in a map-side join as long as
+these and the items' words (``ROW_BYTES`` for each) are below
+``BROADCAST_BYTES``; beyond, narrow seed rows are shuffled and only documents
+with hits are read again. Where a passage agrees word by word every place is a
+hit of the same lie; only the first of such a run is compared.
 
 Defined results: null or empty texts have no words and match nothing; items of
 fewer than five words cannot be found; null ids are kept as they are; repeated
-rows count once; extra columns are ignored.
+rows count once; a text of any length is one row; empty tables, of documents or
+of items, give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,26 +33,29 @@ SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 2, 3, 4))
 SHORT = 15
 WINDOW = 20
 SHARE = 0.8
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 96
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
+def _seed(place: Column, which: Column, masks: tuple) -> Column:
+    """Hash of the words that a mask picks at a place of ``tokens`` (null where it does not fit)."""
+    out = F.lit(None).cast("long")
+    for k, mask in reversed(list(enumerate(masks))):
+        fits = (place >= 0) & (place + mask[-1] < F.size("tokens"))
+        out = F.when(which == k, F.when(fits, F.xxhash64(F.lit(k), *[F.get("tokens", place + o) for o in mask]))).otherwise(out)
+    return out
+
+
 def _seeds(df: DataFrame, at: str, masks: tuple = MASKS) -> DataFrame:
-    """A row per mask and place where the mask fits into ``tokens``: adds ``at`` and ``seed``."""
+    """A row per mask and place where the mask fits into ``tokens``: adds ``at``, ``mask`` and ``seed``."""
     n = len(masks)
     spread = df.where(F.size("tokens") > min(m[-1] for m in masks)).withColumn("_g", F.explode(F.sequence(F.lit(0), n * F.size("tokens") - 1)))
-    place = F.floor(F.col("_g") / n).cast("int")
-    seed, fits = None, None
-    for k, mask in enumerate(masks):
-        mine = F.col("_g") % n == k
-        h = F.xxhash64(F.lit(k), *[F.get("tokens", place + o) for o in mask])
-        ok = place + mask[-1] < F.size("tokens")
-        seed = F.when(mine, h) if seed is None else seed.when(mine, h)
-        fits = F.when(mine, ok) if fits is None else fits.when(mine, ok)
-    return spread.where(fits).withColumn(at, place).withColumn("seed", seed).drop("_g")
+    spread = spread.withColumn(at, F.floor(F.col("_g") / n).cast("int")).withColumn("mask", (F.col("_g") % n).cast("int"))
+    return spread.withColumn("seed", _seed(F.col(at), F.col("mask"), masks)).where("seed is not null").drop("_g")
 
 
 def _agreement(df: DataFrame) -> DataFrame:
@@ -66,18 +73,22 @@ def overlaps(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST
     """doc_id, item_id, matched (most words that agree at one lie), item_words: a row per contaminated pair."""
     docs = docs.select("doc_id", "text")
     items = items.select("item_id", words(F.col("text")).alias("item_tokens")).where(F.size("item_tokens") > 0)
-    size, short = items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("item_tokens", " "))), F.lit(0)), F.count_if(F.size("item_tokens").between(5, SHORT - 1))).head()
+    n_words, octets, short = items.agg(F.coalesce(F.sum(F.size("item_tokens")), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.array_join("item_tokens", " "))), F.lit(0)), F.count_if(F.size("item_tokens").between(5, SHORT - 1))).head()
     masks = MASKS + SHORT_MASKS if short else MASKS
-    seeds = _seeds(items.withColumnRenamed("item_tokens", "tokens"), "item_at", masks).select("item_id", "item_at", "seed").distinct()
+    size = n_words * (len(masks) + 1) * ROW_BYTES + octets
+    seeds = _seeds(items.withColumnRenamed("item_tokens", "tokens"), "item_at", masks)
+    seeds = seeds.select("item_id", "item_at", "mask", "seed", _seed(F.col("item_at") - 1, F.col("mask"), masks).alias("before")).distinct()
     named = items.withColumnRenamed("item_id", "_item")
     lead = (F.col("at") - F.col("item_at")).alias("lead")
     tokens = words(F.col("text")).alias("tokens")
     if size <= broadcast_bytes:
-        hits = _seeds(docs.select("doc_id", tokens), "at", masks).join(F.broadcast(seeds), "seed").select("doc_id", "tokens", "item_id", lead)
+        hits = _seeds(docs.select("doc_id", tokens), "at", masks).join(F.broadcast(seeds), ["seed", "mask"])
+        begins = ~F.coalesce(F.col("before") == _seed(F.col("at") - 1, F.col("mask"), masks), F.lit(False))
+        hits = hits.where(begins).select("doc_id", "tokens", "item_id", lead)
         found = hits.join(F.broadcast(named), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
     else:
         key = F.xxhash64("doc_id", "text").alias("_row")
-        hits = _seeds(docs.select(key, tokens), "at", masks).select("_row", "at", "seed").join(seeds, "seed").select("_row", "item_id", lead).distinct()
+        hits = _seeds(docs.select(key, tokens), "at", masks).select("_row", "at", "mask", "seed").join(seeds, ["seed", "mask"]).select("_row", "item_id", lead).distinct()
         found = docs.select("doc_id", key, tokens).join(hits, "_row").join(named, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
     return _agreement(found).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.first(F.size("item_tokens")).cast("long").alias("item_words"))
 
