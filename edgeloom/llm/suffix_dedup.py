@@ -14,7 +14,9 @@ place cannot be spread, so the suffixes that can matter are found first:
    refinement: initial buckets of 8-byte prefixes; buckets of more than one
    suffix are sorted by the buckets of the suffixes 8, then 16, then 18 bytes
    on, each round reusing the numbers of the last, until equal numbers mean
-   equal LENGTH-byte prefixes. This is done within the chunk, which settles
+   equal LENGTH-byte prefixes. (Numbers that changed inside a round are not
+   reused in it: they would tell strings apart behind their LENGTH-th byte.)
+   This is done within the chunk, which settles
    all but the smallest document of each string, and for what is left within
    the bucket of its anchor, where chunks meet.
 3. Per document the found places are united.
@@ -23,9 +25,11 @@ A text that has an exact copy with a smaller doc_id goes as a whole (if it has
 LENGTH bytes) without taking part in 2.
 
 Defined results: null text counts as empty; a null doc_id counts as larger
-than all others; rows with equal doc_ids never remove from each other;
-texts shorter than LENGTH bytes stay; an empty table gives no rows; extra
-columns are ignored. Very long texts are handled in overlapping segments.
+than all others (which have to be below 2 ** 62), rows without doc_id are told
+apart by their texts and follow each other by a hash of them; rows with equal
+doc_ids, and equal rows without one, never remove from each other; texts shorter
+than LENGTH bytes stay; an empty table gives no rows; extra columns are ignored.
+Very long texts are handled in overlapping segments.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm.workers import lean_batches, tidy
-from edgeloom.plans.durable import let_go, written, written_by_key
+from edgeloom.plans.durable import written, written_by_key
 
 LENGTH = 50
 GRAM = 24
@@ -49,6 +53,8 @@ CHUNK = 1 << 19
 BLOCK = 8000  # questions settled at a time
 SLICE = 500  # rows turned into Python objects at a time
 _MAX = (1 << 63) - 1
+UNNAMED = 1 << 62  # ids of rows without doc_id begin here
+LANES = 256
 _U = np.uint64
 
 
@@ -442,8 +448,11 @@ def _shared_anchors(base: DataFrame) -> tuple[DataFrame, int]:
     total = keys.agg(F.sum("n")).head()[0] or 0
     buckets, meetings = max(1, total * 71 // 1000 // 250_000), max(1, total // 4_000_000)
 
-    first = keys.groupBy("md5").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("md5", "least")
-    copies = keys.join(first, "md5").where("id > least").groupBy("id").agg(F.collect_set("md5").alias("copies"))
+    lane = F.pmod(F.xxhash64("id"), F.lit(LANES))  # a text with very many copies is met in as many places
+    cells = keys.groupBy("md5", lane.alias("lane")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    first = cells.groupBy("md5").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
+    named = cells.select("md5", "lane").join(first.select("md5", "least"), "md5")
+    copies = keys.withColumn("lane", lane).join(named, ["md5", "lane"]).where("id > least").groupBy("id").agg(F.collect_set("md5").alias("copies"))
     sent = base.select("id", "text").mapInArrow(_emit_anchors(buckets), "bucket long, settled boolean, hashes binary, ids binary, flags binary")
     shared = sent.groupBy("bucket").applyInArrow(_share, "id long, hash long").groupBy("id").agg(F.collect_list("hash").alias("hashes"))
     return written(shared.join(copies, "id", "full_outer"), "shared"), meetings
@@ -458,13 +467,10 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True, extra: list[str] |
     spark = docs.sparkSession
     lean_batches(spark)
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_MAX)).alias("id"), (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
+    base = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(UNNAMED) + F.pmod(F.xxhash64(text), F.lit(1 << 61))).alias("id"), (F.to_json(F.struct(*extra)) if extra else F.lit(None).cast("string")).alias("extra"))
     info, meetings = _shared_anchors(base)
-    let_go(spark)  # the anchors' shuffle files are done with
     joined = base.withColumn("rk", F.xxhash64("id", "text")).join(info, "id", "left").select("doc_id", "id", "rk", "text", "extra", "hashes", "copies")
     rows = written_by_key(joined.mapInArrow(_candidates(meetings, keep_bytes), _CANDIDATE), "id", int(spark.conf.get("spark.sql.shuffle.partitions")), "candidates")
-    del joined
-    let_go(spark)  # and those of the texts
     asked = rows.where("kind = 1").select("bucket", "ids", "rks", "places", "masks", "around")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "id long, rk long, place long, mask long")
     marks = answers.unionByName(rows.where("kind = 2").select("id", "rk", "place", "mask"))
