@@ -1,15 +1,16 @@
 """Cutting lineage through the folder that all executors share.
 
 Everything written here goes to ``spark.checkpoint.dir``. Only where that is
-unset (tests, notebooks) a temporary folder is chosen and set.
+unset and one machine runs everything (tests, notebooks) a temporary folder is
+chosen and set; on a cluster the folder has to be named.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,9 @@ _TABLES: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="edgeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -32,11 +36,24 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Queries that run meanwhile delete their shuffle files when they end, instead of when the driver's memory is collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, tag: str = "stage") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder; later plans start from its files."""
+    """``df`` as a Parquet table in the shared folder; later plans start from its files, and its shuffles are deleted."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    with shuffles_go(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._edgeloom_path = path
     return out
@@ -46,7 +63,8 @@ def written_by_key(df: DataFrame, key: str, buckets: int, tag: str = "keyed") ->
     """``df`` as a table in the warehouse, bucketed by ``key``: joins on it move only their other side."""
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    with shuffles_go(spark):
+        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
     _TABLES.append(name)
     return spark.table(name)
 
@@ -70,14 +88,3 @@ def clean_up(spark: SparkSession) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _PATHS:
         drop_path(spark, _PATHS.pop())
-
-
-def let_go(spark: SparkSession) -> None:
-    """Tells the driver to notice unreferenced plans now, so that Spark's cleaner deletes their shuffle files.
-
-    More than once, as the bridge to the JVM gives up its own references a moment later.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)  # the cleaner works on its own thread
