@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.plans.durable import written
-from edgeloom.plans.ranking import buckets_for, global_row_number, range_bounds, range_bucket
+from edgeloom.plans.ranking import numbered
 
 
 @dataclass
@@ -36,8 +36,7 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 def dense_ids(values: DataFrame, col: str, out: str = "id") -> DataFrame:
     """Numbers distinct values from 0 in their own order; ranges are numbered apart and then shifted."""
-    cut = values.withColumn("_b", range_bucket(F.col(col), range_bounds(values, col, buckets_for(values.count()))))
-    return global_row_number(cut, out, [col]).select(out, col)
+    return numbered(values, out, [col]).select(out, col)
 
 
 def relabel(edges: DataFrame, ids: DataFrame, old: str = "orig_id", new: str = "id") -> DataFrame:
@@ -51,7 +50,7 @@ def simplify(raw: DataFrame, loops: bool = False) -> Graph:
     """Loops go first (so vertices with nothing else vanish), then edges are made distinct and ids dense."""
     kept = raw.where("src is not null and dst is not null")
     kept = written((kept if loops else drop_loops(kept)).select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct(), "kept")
-    vertices = written(dense_ids(endpoints(kept), "orig_id"), "vertices")
+    vertices = dense_ids(endpoints(kept), "orig_id")
     return Graph(written(relabel(kept, vertices), "edges"), vertices)
 
 

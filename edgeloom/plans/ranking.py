@@ -1,7 +1,9 @@
 """Global positions (row numbers, running sums, successors) without one global window.
 
 Rows are dealt to buckets, each bucket is ranked by itself, and only one row
-per bucket takes part in the running total over buckets.
+per bucket takes part in the running total over buckets. ``numbered`` deals
+them by one range exchange whose partitions are the buckets, so neither the
+plan nor what the driver sees grows with the rows.
 """
 
 from __future__ import annotations
@@ -9,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.plans.durable import written
+
 ROWS_PER_BUCKET = 20_000
 
 
@@ -63,3 +67,22 @@ def global_row_number(df: DataFrame, out: str, order: list, keys: list[str] | No
         cond = c if cond is None else cond & c
     joined = local.join(right, cond, "left")
     return joined.withColumn(out, (F.col("_rn") + F.col("_off")).cast("long")).drop("_rn", "_off", *[f"_r{k}" for k in [*keys, bucket]])
+
+
+def numbered(df: DataFrame, out: str, order: list) -> DataFrame:
+    """``df`` with gapless numbers from 0 in ``order`` (which should leave no ties).
+
+    One exchange by ranges, sorted inside; a row's place in its partition is
+    written with it, and the driver adds up one count per partition, of which
+    there are at most ``spark.sql.shuffle.partitions``.
+    """
+    place = F.monotonically_increasing_id()  # partition number and, in the low 33 bits, the place in the partition
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", place)
+    cut = written(cut.withColumn("_b", F.shiftright("_m", 33)).withColumn("_m", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    sizes = sorted((r["_b"], r["n"]) for r in cut.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
+    before, total = [], 0
+    for b, n in sizes:
+        before.append((b, total))
+        total += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_b long, _off long"))
+    return cut.join(offsets, "_b").withColumn(out, F.col("_m") + F.col("_off")).drop("_b", "_m", "_off")
