@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.plans.ranking import buckets_for, global_row_number, range_bounds, range_bucket
+from edgeloom.plans.ranking import numbered
 
 
 def power_at_least(n: int) -> int:
@@ -52,15 +52,14 @@ def hilbert_point(d: Column, side: int) -> Column:
 def ordered(edges: DataFrame, how: str, n: int) -> DataFrame:
     """src, dst, idx: each edge's number from 0 in row, column or hilbert order."""
     if how == "row":
-        keyed, order = edges.withColumn("_k", F.col("src")), ["src", "dst"]
+        keyed, order = edges, ["src", "dst"]
     elif how == "column":
-        keyed, order = edges.withColumn("_k", F.col("dst")), ["dst", "src"]
+        keyed, order = edges, ["dst", "src"]
     elif how == "hilbert":
         keyed, order = edges.withColumn("_k", hilbert_key(F.col("src"), F.col("dst"), power_at_least(n))), ["_k"]
     else:
         raise ValueError(f"unknown edge order: {how}")
-    cut = keyed.withColumn("_b", range_bucket(F.col("_k"), range_bounds(keyed, "_k", buckets_for(keyed.count()))))
-    return global_row_number(cut, "idx", order).select("src", "dst", "idx")
+    return numbered(keyed, "idx", order).select("src", "dst", "idx")
 
 
 def tile_nnz(edges: DataFrame, side: int) -> DataFrame:
@@ -72,8 +71,7 @@ def tile_nnz(edges: DataFrame, side: int) -> DataFrame:
 def tile_order(tiles: DataFrame, n: int, side: int) -> DataFrame:
     """Tiles with their place on the Hilbert curve over tiles."""
     per = max(1, -(-n // side))
-    keyed = tiles.withColumn("key", hilbert_key(F.col("qx"), F.col("qy"), power_at_least(per)))
-    return keyed.withColumn("q_idx", F.row_number().over(Window.orderBy("key")) - 1)  # a row per tile
+    return numbered(tiles.withColumn("key", hilbert_key(F.col("qx"), F.col("qy"), power_at_least(per))), "q_idx", ["key"])
 
 
 def inside_tiles(edges: DataFrame, side: int) -> DataFrame:
@@ -93,41 +91,40 @@ def quadrants(spark, n: int, depth: int) -> DataFrame:
 
 
 def rectangle_walk(width: int, height: int) -> Iterator[tuple[int, int]]:
-    """Cells of any rectangle along a generalised Hilbert curve."""
-    def sign(v):
-        return (v > 0) - (v < 0)
-
-    def walk(x, y, ax, ay, bx, by):
-        w, h = abs(ax + ay), abs(bx + by)
-        dax, day, dbx, dby = sign(ax), sign(ay), sign(bx), sign(by)
-        if h == 1:
-            for _ in range(w):
-                yield x, y
-                x, y = x + dax, y + day
+    """Every cell of a rectangle once, each beside the one before: a walk of Peano's kind.
+
+    A block with an odd side can be crossed from a corner to the opposite one.
+    It is cut across its longer side into three blocks of which each has an odd
+    side again (the outer two are odd there, the middle one takes the rest), and
+    these are crossed in turn, every second one mirrored, so each ends beside
+    the next one's beginning. With two even sides no walk ends in the opposite
+    corner; such a rectangle is walked as two halves of odd width.
+    """
+
+    def thirds(n: int) -> tuple[int, int, int]:
+        outer = max(1, n // 3 - (n // 3 + 1) % 2)
+        return outer, n - 2 * outer, outer
+
+    def cross(x: int, y: int, w: int, h: int, east: bool, north: bool) -> Iterator[tuple[int, int]]:
+        """From the corner that lies against both directions to the opposite one."""
+        if min(w, h) == 1:
+            for i in range(w * h):
+                dx, dy = (i, 0) if h == 1 else (0, i)
+                yield x + (dx if east else w - 1 - dx), y + (dy if north else h - 1 - dy)
             return
-        if w == 1:
-            for _ in range(h):
-                yield x, y
-                x, y = x + dbx, y + dby
-            return
-        ax2, ay2, bx2, by2 = ax // 2, ay // 2, bx // 2, by // 2
-        w2, h2 = abs(ax2 + ay2), abs(bx2 + by2)
-        if 2 * w > 3 * h:
-            if w2 % 2 and w > 2:
-                ax2, ay2 = ax2 + dax, ay2 + day
-            yield from walk(x, y, ax2, ay2, bx, by)
-            yield from walk(x + ax2, y + ay2, ax - ax2, ay - ay2, bx, by)
-            return
-        if h2 % 2 and h > 2:
-            bx2, by2 = bx2 + dbx, by2 + dby
-        yield from walk(x, y, bx2, by2, ax2, ay2)
-        yield from walk(x + bx2, y + by2, ax, ay, bx - bx2, by - by2)
-        yield from walk(x + (ax - dax) + (bx2 - dbx), y + (ay - day) + (by2 - dby), -bx2, -by2, -(ax - ax2), -(ay - ay2))
-
-    if width >= height:
-        yield from walk(0, 0, width, 0, 0, height)
+        begun, wide = 0, w >= h
+        for turn, size in enumerate(thirds(w if wide else h)):
+            ahead = begun if (east if wide else north) else (w if wide else h) - begun - size
+            flip = turn % 2 == 1
+            yield from cross(x + ahead, y, size, h, east, north ^ flip) if wide else cross(x, y + ahead, w, size, east ^ flip, north)
+            begun += size
+
+    if width % 2 or height % 2:
+        yield from cross(0, 0, width, height, True, True)
     else:
-        yield from walk(0, 0, 0, height, width, 0)
+        half = width // 2 - (width // 2 + 1) % 2
+        yield from cross(0, 0, half, height, True, True)
+        yield from cross(half, 0, width - half, height, True, False)
 
 
 def wing_envelope(edges: DataFrame, core: int) -> DataFrame:
@@ -135,3 +132,50 @@ def wing_envelope(edges: DataFrame, core: int) -> DataFrame:
     rows = edges.where(F.col("src") < core).groupBy(F.col("src").alias("row")).agg(F.max("dst").alias("last"))
     w = Window.orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)  # at most core rows
     return rows.withColumn("envelope", F.max("last").over(w))
+
+
+def outside_extents(edges: DataFrame, core: int) -> DataFrame:
+    """row, least, most: first and last column at or beyond the core in each row at or beyond it."""
+    return edges.where((F.col("src") >= core) & (F.col("dst") >= core)).groupBy(F.col("src").alias("row")).agg(F.min("dst").alias("least"), F.max("dst").alias("most"))
+
+
+def halved_squares(spark, side: int, most: int) -> DataFrame:
+    """x0, x1, y0, y1: a square cut in four at its midpoints until a part has a side of at most half of ``most``; log(side) rounds."""
+    if most < 2:
+        raise ValueError("parts cannot be smaller than a cell")
+    done, left = None, spark.createDataFrame([(0, side, 0, side)], "x0 long, x1 long, y0 long, y1 long")
+    longest = side
+    while True:
+        small = (2 * (F.col("x1") - F.col("x0")) <= most) | (2 * (F.col("y1") - F.col("y0")) <= most)
+        kept = left.where(small)
+        done = kept if done is None else done.unionByName(kept)
+        if 2 * longest <= most:
+            return done
+        xm, ym = F.floor((F.col("x0") + F.col("x1")) / 2), F.floor((F.col("y0") + F.col("y1")) / 2)
+        parts = [(F.col("x0"), xm, F.col("y0"), ym), (xm, F.col("x1"), F.col("y0"), ym), (F.col("x0"), xm, ym, F.col("y1")), (xm, F.col("x1"), ym, F.col("y1"))]
+        four = F.explode(F.array(*[F.struct(*[c.cast("long").alias(n) for c, n in zip(p, ("x0", "x1", "y0", "y1"), strict=True)]) for p in parts]))
+        left = left.where(~small).select(four.alias("p")).select("p.*")
+        longest = -(-longest // 2)
+
+
+def quadrant_chain(spark, depth: int) -> DataFrame:
+    """place, qx, qy, direction, start, finish, rotation of the 4 ** depth quadrants along the curve.
+
+    The direction is the step to the next quadrant (the last one keeps that of
+    its predecessor). A way right or up ends in the top right corner, a way down
+    or left in the bottom left one; the next begins in that corner's mirror
+    image over the shared side, the first in the top left corner.
+    """
+    side = 1 << depth
+    cells = spark.range(side * side).select((F.col("id") % side).alias("qx"), F.floor(F.col("id") / side).alias("qy"))
+    placed = cells.select("qx", "qy", hilbert_key(F.col("qx"), F.col("qy"), max(2, side)).alias("place"))
+    w = Window.orderBy("place")  # 4 ** depth rows, a parameter
+    dx, dy = F.lead("qx").over(w) - F.col("qx"), F.lead("qy").over(w) - F.col("qy")
+    step = F.when(dx == 1, "right").when(dx == -1, "left").when(dy == 1, "up").when(dy == -1, "down")
+    chain = placed.withColumn("step", step).withColumn("before", F.lag("step").over(w))
+    chain = chain.withColumn("direction", F.coalesce("step", "before", F.lit("right")))
+    chain = chain.withColumn("start", F.when(F.col("before").isin("up", "left"), "bot_right").otherwise("top_left"))
+    chain = chain.withColumn("finish", F.when(F.col("before").isNull(), "top_right").when(F.col("direction").isin("right", "up"), "top_right").otherwise("bot_left"))
+    left = F.col("start") == "top_left"
+    turn = F.when(left & (F.col("finish") == "top_right"), 0).when(left, 90).when(F.col("finish") == "bot_left", 180).otherwise(270)
+    return chain.select("place", "qx", "qy", "direction", "start", "finish", turn.alias("rotation"))
