@@ -47,9 +47,12 @@ def motif_counts(g: Graph) -> DataFrame:
     tv = tri.select(F.explode(F.array("v1", "v2", "v3")).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("t"))
     pairs = F.explode(F.array(F.struct(F.least("v1", "v2").alias("a"), F.greatest("v1", "v2").alias("b")), F.struct(F.least("v1", "v3").alias("a"), F.greatest("v1", "v3").alias("b")), F.struct(F.least("v2", "v3").alias("a"), F.greatest("v2", "v3").alias("b"))))
     te = tri.select(pairs.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("t"))
-    # Pairs with common neighbours: wedges whose middle is the vertex; the 4-cycles need all of them.
-    mid = both.select(F.col("u").alias("m"), F.col("v").alias("a")).join(both.select(F.col("u").alias("m"), F.col("v").alias("b")), "m").where("a < b")
-    codeg = mid.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(_choose(F.col("c"), 2)).alias("cc"))
+    # Every 4-cycle once, at its vertex of highest degree (and id): wedges from it over a lower middle to a lower end.
+    rank = lambda x: F.struct(F.col(f"{x}d"), F.col(x))
+    named = lambda a, b: both.select(F.col("u").alias(a), F.col("v").alias(b)).join(deg.select(F.col("u").alias(b), F.col("d").alias(f"{b}d")), b)
+    up = named("m", "top").join(deg.select(F.col("u").alias("m"), F.col("d").alias("md")), "m").where(rank("m") < rank("top"))
+    mid = up.select("m", "top", "topd").join(named("m", "low"), "m").where(rank("low") < rank("top"))
+    codeg = mid.groupBy("top", "low").agg(F.count(F.lit(1)).alias("c")).agg((2 * F.sum(_choose(F.col("c"), 2))).alias("cc"))
     d = deg.agg(F.sum(_choose(F.col("d"), 2)).alias("w"), F.sum(_choose(F.col("d"), 3)).alias("claw"))
     ends = e.join(deg.select(F.col("u").alias("lo"), F.col("d").alias("x")), "lo").join(deg.select(F.col("u").alias("hi"), F.col("d").alias("y")), "hi").agg(F.sum((F.col("x") - 1) * (F.col("y") - 1)).alias("pp"))
     tails = tv.join(deg, "u").agg(F.sum(F.col("t") * (F.col("d") - 2)).alias("tt"))
