@@ -82,3 +82,62 @@ def rotated(cx: Column, cy: Column, angle: int, x: Column, y: Column) -> tuple[C
     """A point turned about a centre by a multiple of 90 degrees."""
     turns = {0: (x, y), 90: (cx - (y - cy), cy + (x - cx)), 180: (2 * cx - x, 2 * cy - y), 270: (cx + (y - cy), cy - (x - cx))}
     return turns[angle % 360]
+
+
+def loops_allowed(loops: Column) -> Column:
+    """Whether a graph's metadata say that it contains loops; null where they say nothing."""
+    return F.when(loops.isNotNull() & (loops != ""), loops == "Contains loops")
+
+
+def figure_side(axis: Column, n: Column) -> Column:
+    """Side of a figure: one axis below 5,000 vertices, else an axis for each whole 5,000th part."""
+    return F.when(n < 5000, axis).otherwise(F.floor(n * F.lit(0.0002)) * axis).cast("long")
+
+
+def marker_size(n: Column) -> Column:
+    """Markers are one point wide whatever the number of vertices."""
+    return F.when(n.isNotNull(), F.lit(1))
+
+
+#: The corners of a line's rectangle by its direction, each the line's start (S) or end (E) moved by the width in x and y.
+_CORNERS = {"left": "E-- S-- S-+ E-+", "right": "E+- S-- S-+ E++", "down": "S+- E+- E-- S--", "up": "S++ E++ E-+ S-+"}
+
+
+def line_corners(x0: Column, y0: Column, x1: Column, y1: Column, width: Column) -> Column:
+    """Corners of the rectangle around a line that runs along an axis, as an array of (x, y)."""
+
+    def corner(code: str) -> Column:
+        x, y = (x0, y0) if code[0] == "S" else (x1, y1)
+        moved = [v + width if sign == "+" else v - width for v, sign in zip((x, y), code[1:], strict=True)]
+        return F.struct(moved[0].alias("x"), moved[1].alias("y"))
+
+    of = {k: F.array(*map(corner, codes.split())) for k, codes in _CORNERS.items()}
+    return F.when(x1 < x0, of["left"]).when(x0 < x1, of["right"]).when(y1 < y0, of["down"]).otherwise(of["up"])
+
+
+def power_below(x: Column) -> Column:
+    """The largest power of two that is at most x (x of at least 1)."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(x.cast("double")) + 1e-12)).cast("long")
+
+
+def title_text(name: Column, n: Column, m: Column, size: Column, unit: Column, fill: Column) -> Column:
+    """Heading of a result plot: counts with thousands separators, size, and the fill in scientific notation."""
+    whole = lambda c: F.format_number(c, 0)
+    return F.concat(name, F.lit(" - "), whole(n), F.lit(" nodes, "), whole(m), F.lit(" edges, about "), size.cast("string"), F.lit(" "), unit, F.lit(", fill - "), F.format_string("%.4E", fill))
+
+
+def array_size(least: Column, most: Column, vertex_orders: Column, edge_orders: Column) -> Column:
+    """Highest index of a job array: graphs by vertex orders by edge orders, counted from 0."""
+    return (most - least + 1) * vertex_orders * edge_orders - 1
+
+
+def main_arguments(config: dict, cluster: bool = False) -> list[str]:
+    """Command line of a configuration: values, the orders wanted, switches that are on, the range of graph numbers."""
+    out = ["python", "-m", "edgeloom.cluster"] if cluster else ["python", "-m", "edgeloom"]
+    for key in ["mode", "data-dir", *(["time", "mem", "cpus-per-task", "constraint"] if cluster else [])]:
+        out += [f"--{key}", str(config[key])]
+    wanted = config["reorder"]
+    out += ["--reorder", *([wanted] if isinstance(wanted, str) else wanted)]
+    out += [f"--{key}" for key in ("directed", "overwrite", "debug") if config.get(key)]
+    numbers = config["graph-numbers"]
+    return [*out, "--graph-numbers", str(numbers["min"]), str(numbers["max"])]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,46 +42,72 @@ def power_law_closed(deg: DataFrame, col: str = "deg", xmin: int | None = None)
     return stats.select((1 + F.col("n") / (F.col("logs") - F.col("n") * F.log(low.cast("double")))).alias("exponent"))
 
 
-def _zeta(s: float, q: float) -> float:
-    """Hurwitz zeta by Euler-Maclaurin."""
+def _zeta(s: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Hurwitz zeta by Euler-Maclaurin, element by element."""
+    s, q = np.broadcast_arrays(np.asarray(s, float), np.asarray(q, float))
     n = 12
     total = sum((q + k) ** -s for k in range(n))
     a = q + n
-    total += a ** (1 - s) / (s - 1) + 0.5 * a**-s
+    total = total + a ** (1 - s) / (s - 1) + 0.5 * a**-s
     term, fact = s * a ** (-s - 1), 1.0
     for k, b in enumerate((1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66)):
         fact *= (2 * k + 1) * (2 * k + 2)
-        total += b * term / fact
-        term *= (s + 2 * k + 1) * (s + 2 * k + 2) / a**2
+        total = total + b * term / fact
+        term = term * (s + 2 * k + 1) * (s + 2 * k + 2) / a**2
     return total
 
 
-def power_law_discrete(deg: DataFrame, col: str = "deg") -> dict:
-    """alpha, xmin, log-likelihood and KS distance of the discrete power law with the least KS distance.
+def fitted_power_law(x: np.ndarray, count: np.ndarray) -> dict:
+    """The discrete power law with the least KS distance over all lower ends, from a histogram (x ascending and positive)."""
+    if len(x) < 2:
+        return {"alpha": float("nan"), "xmin": 0, "loglik": float("nan"), "ks": float("nan"), "n_tail": 0}
+    n = count[::-1].cumsum()[::-1].astype(float)
+    logs = (count * np.log(x))[::-1].cumsum()[::-1]
+    low, high = np.full(len(x) - 1, 1.01), np.full(len(x) - 1, 8.0)
+    q, size, sums = x[:-1].astype(float), n[:-1], logs[:-1]
+    loglik = lambda a: -size * np.log(_zeta(a, q)) - a * sums
+    for _ in range(60):  # the likelihood is unimodal in alpha
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        up = loglik(a) < loglik(b)
+        low, high = np.where(up, a, low), np.where(up, high, b)
+    alpha = (low + high) / 2
+    best = None
+    for k in range(len(alpha)):
+        seen = count[k:].cumsum() / size[k]
+        ks = float(np.abs(seen - (1 - _zeta(alpha[k], x[k:] + 1.0) / _zeta(alpha[k], q[k]))).max())
+        if best is None or ks < best[0]:
+            best = (ks, k)
+    ks, k = best
+    return {"alpha": float(alpha[k]), "xmin": int(x[k]), "loglik": float(loglik(alpha)[k]), "ks": ks, "n_tail": int(size[k])}
+
+
+def power_law_p_value(x: np.ndarray, count: np.ndarray, fit: dict, draws: int = 100, seed: int = 0) -> float:
+    """Share of samples of the fitted law (below its lower end: of the histogram) that lie further from their own fit."""
+    if not fit["n_tail"]:
+        return float("nan")
+    rng, n, below = np.random.default_rng(seed), int(count.sum()), x < fit["xmin"]
+    worse = 0
+    for _ in range(draws):
+        tail = rng.binomial(n, fit["n_tail"] / n)
+        drawn = np.floor((fit["xmin"] - 0.5) * (1 - rng.random(tail)) ** (-1 / (fit["alpha"] - 1)) + 0.5)
+        values, counts = np.unique(np.minimum(drawn, 1e15), return_counts=True)
+        if below.any():
+            rest = rng.multinomial(n - tail, count[below] / count[below].sum())
+            values, counts = np.concatenate([x[below][rest > 0], values]), np.concatenate([rest[rest > 0], counts])
+        worse += fitted_power_law(values, counts)["ks"] >= fit["ks"]
+    return worse / draws
+
+
+def power_law_discrete(deg: DataFrame, col: str = "deg", draws: int = 0) -> dict:
+    """alpha, xmin, log-likelihood, KS distance and n_tail of the discrete power law with the least KS distance; p_value if draws are asked for.
 
     Only the degree histogram (one row per distinct degree, far fewer than
     vertices) leaves the cluster.
     """
     hist = sorted((r[0], r[1]) for r in deg.where(F.col(col) > 0).groupBy(col).agg(F.count(F.lit(1))).collect())
-    best = None
-    for start, (xmin, _) in enumerate(hist[:-1]):
-        tail = hist[start:]
-        n, logs = sum(c for _, c in tail), sum(c * math.log(x) for x, c in tail)
-        low, high = 1.01, 8.0
-        for _ in range(60):  # the likelihood is unimodal in alpha
-            a, b = low + (high - low) / 3, high - (high - low) / 3
-            if -n * math.log(_zeta(a, xmin)) - a * logs < -n * math.log(_zeta(b, xmin)) - b * logs:
-                low = a
-            else:
-                high = b
-        alpha, seen, ks = (low + high) / 2, 0, 0.0
-        whole = _zeta(alpha, xmin)
-        for x, c in tail:
-            seen += c
-            ks = max(ks, abs(seen / n - (1 - _zeta(alpha, x + 1) / whole)))
-        if best is None or ks < best["ks"]:
-            best = {"alpha": alpha, "xmin": xmin, "loglik": -n * math.log(whole) - alpha * logs, "ks": ks, "n_tail": n}
-    return best or {"alpha": float("nan"), "xmin": 0, "loglik": float("nan"), "ks": float("nan"), "n_tail": 0}
+    x, count = np.array([h[0] for h in hist], float), np.array([h[1] for h in hist], np.int64)
+    fit = fitted_power_law(x, count)
+    return fit | {"p_value": power_law_p_value(x, count, fit, draws)} if draws else fit
 
 
 def gini(deg: DataFrame, col: str = "deg") -> DataFrame:
@@ -104,6 +131,13 @@ def in_out_correlation(deg: DataFrame) -> DataFrame:
     return deg.agg(F.corr(F.log1p("in_deg"), F.log1p("out_deg")).alias("correlation"))
 
 
+def with_p_value(one: DataFrame, coefficient: str, n: int) -> DataFrame:
+    """One row with a Pearson coefficient of n pairs, and its two-sided p-value beside it."""
+    r = one.head()[coefficient]
+    p = student_p(r, n) if r is not None and not math.isnan(r) else float("nan")
+    return one.sparkSession.createDataFrame([(r, p)], f"{coefficient} double, p_value double")
+
+
 def assortativity(g: Graph, deg: DataFrame, kind: str) -> DataFrame:
     """Correlation over edges of the endpoints' degrees of one kind."""
     a, b = deg.select(F.col("id").alias("src"), F.col(kind).cast("double").alias("x")), deg.select(F.col("id").alias("dst"), F.col(kind).cast("double").alias("y"))

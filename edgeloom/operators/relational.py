@@ -88,3 +88,12 @@ def verified(df: DataFrame, known: str, computed: str, out: str) -> DataFrame:
 def grid(*dims: DataFrame) -> DataFrame:
     """Every combination of small dimension tables (graphs, orders, repeats)."""
     return reduce(lambda a, b: a.crossJoin(b), dims)
+
+
+def without_empty_columns(df: DataFrame) -> DataFrame:
+    """``df`` without the columns that hold nothing but nulls and (if numeric) zeros; one pass over the rows."""
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    kinds = dict(df.dtypes)
+    filled = [F.count_if((F.col(c) != 0) if kinds[c] in numeric else F.col(c).isNotNull()).alias(c) for c in df.columns]
+    row = df.agg(*filled).head()
+    return df.select(*[c for c in df.columns if row[c]])

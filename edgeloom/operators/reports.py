@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.functions import power_below
+
 
 def runtime_stats(runs: DataFrame, keys: list[str], value: str = "runtime") -> DataFrame:
     return runs.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.count(F.lit(1)).alias("runs"))
@@ -41,3 +43,17 @@ def polyline(points: DataFrame, order: str, group: str) -> DataFrame:
     """Each point with its predecessor, per curve."""
     w = Window.partitionBy(group).orderBy(order)
     return points.withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w))
+
+
+def groups_by_size(runs: DataFrame, group: str, size: str) -> DataFrame:
+    """Each group with its size and its place when the largest comes first (ties: by name)."""
+    from edgeloom.plans.ranking import numbered
+
+    sized = runs.groupBy(group).agg(F.max(size).alias("size"), F.count(F.lit(1)).alias("runs"))
+    return numbered(sized, "place", [F.desc("size"), group])
+
+
+def guide_lines(wing: Column, cache: int = 1600) -> list[Column]:
+    """Where a plot is marked for a wing width: the line itself, the largest power of two in the cache and half of it, the side of the dense core."""
+    top = 1 << (cache.bit_length() - 1)
+    return [wing.alias("line"), F.lit(top).alias("cache_power"), F.lit(top // 2).alias("quadrant_side"), power_below(wing).alias("core_side")]
