@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.plans.ranking import buckets_for, global_row_number, range_bounds, range_bucket
+from edgeloom.plans.ranking import numbered
 from edgeloom.session import table
 
 
 def consecutive(df: DataFrame, order: list[str], value: str, keep: list[str] | None = None) -> DataFrame:
     """Pairs (src, dst) of ``value`` in rows that follow each other in ``order``, with the first row's ``keep``."""
     keep = keep or []
-    first = order[0]
-    key = F.unix_micros(F.col(first).cast("timestamp")) if dict(df.dtypes)[first].startswith("timestamp") else F.col(first).cast("long")
-    keyed = df.withColumn("_k", key)
-    keyed = keyed.withColumn("_b", range_bucket(F.col("_k"), range_bounds(keyed, "_k", buckets_for(df.count()))))
-    ranked = global_row_number(keyed, "_pos", order).select("_pos", F.col(value).alias("src"), *keep)
+    ranked = numbered(df, "_pos", order).select("_pos", F.col(value).alias("src"), *keep)
     following = ranked.select((F.col("_pos") - 1).alias("_pos"), F.col("src").alias("dst"))
     return ranked.join(following, "_pos").drop("_pos")
 
@@ -33,18 +29,22 @@ def g_uu(spark: SparkSession, d: str) -> DataFrame:
     return consecutive(table(spark, d, "events").select("ts", "event_id", "user_id"), ["ts", "event_id"], "user_id").select("src", "dst")
 
 
-def g_sparse(spark: SparkSession, d: str) -> DataFrame:
-    pairs = consecutive(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], "o_custkey", ["o_orderkey"])
-    return pairs.where("o_orderkey % 16 = 0").select("src", "dst")
+def g_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers point to their nation, nations to their region: one component per region, regions are sinks."""
+    nation, region = F.lit(1 << 40), F.lit(1 << 41)
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), (nation + F.col("c_nationkey")).alias("dst"))
+    firms = table(spark, d, "supplier").select((F.lit(1 << 42) + F.col("s_suppkey")).alias("src"), (nation + F.col("s_nationkey")).alias("dst"))
+    nations = table(spark, d, "nation").select((nation + F.col("n_nationkey")).alias("src"), (region + F.col("n_regionkey")).alias("dst"))
+    return people.unionByName(firms).unionByName(nations)
 
 
 SQL = {
     "g_ps": "SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem",
     "g_cc": "SELECT src, dst FROM (SELECT o_custkey AS src, lead(o_custkey) OVER (ORDER BY o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL",
     "g_uu": "SELECT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL",
-    "g_sparse": "SELECT src, dst FROM (SELECT o_orderkey, o_custkey AS src, lead(o_custkey) OVER (ORDER BY o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL AND o_orderkey % 16 = 0",
+    "g_tree": f"SELECT c_custkey AS src, {1 << 40} + c_nationkey AS dst FROM customer UNION ALL SELECT {1 << 42} + s_suppkey, {1 << 40} + s_nationkey FROM supplier UNION ALL SELECT {1 << 40} + n_nationkey, {1 << 41} + n_regionkey FROM nation",
 }
-GRAPHS = {"g_ps": g_ps, "g_cc": g_cc, "g_uu": g_uu, "g_sparse": g_sparse}
+GRAPHS = {"g_ps": g_ps, "g_cc": g_cc, "g_uu": g_uu, "g_tree": g_tree}
 
 
 def simple_sql(name: str) -> str:
