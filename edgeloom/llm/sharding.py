@@ -30,7 +30,7 @@ from edgeloom.plans.durable import forget, written
 from edgeloom.plans.ranking import buckets_for, global_row_number, running_offsets
 
 LAW = "bytes"
-LANES = 1024
+LANES = 128
 FULL = 0.002  # of a quota: a shard with less room takes part no more
 
 
