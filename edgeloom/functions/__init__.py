@@ -120,10 +120,18 @@ def power_below(x: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2(x.cast("double")) + 1e-12)).cast("long")
 
 
+def scientific(x: Column, places: int = 4) -> Column:
+    """Text like ``3.9062E-03``, ties to even."""
+    power = F.floor(F.log10(F.abs(x)) + 1e-12)
+    lead = F.bround(x / F.pow(F.lit(10.0), power), places)
+    over = F.abs(lead) >= 10
+    return F.when(x == 0, F.format_string(f"%.{places}fE+00", x)).otherwise(F.format_string(f"%.{places}fE%+03d", F.when(over, lead / 10).otherwise(lead), F.when(over, power + 1).otherwise(power).cast("int")))
+
+
 def title_text(name: Column, n: Column, m: Column, size: Column, unit: Column, fill: Column) -> Column:
     """Heading of a result plot: counts with thousands separators, size, and the fill in scientific notation."""
     whole = lambda c: F.format_number(c, 0)
-    return F.concat(name, F.lit(" - "), whole(n), F.lit(" nodes, "), whole(m), F.lit(" edges, about "), size.cast("string"), F.lit(" "), unit, F.lit(", fill - "), F.format_string("%.4E", fill))
+    return F.concat(name, F.lit(" - "), whole(n), F.lit(" nodes, "), whole(m), F.lit(" edges, about "), size.cast("string"), F.lit(" "), unit, F.lit(", fill - "), scientific(fill))
 
 
 def array_size(least: Column, most: Column, vertex_orders: Column, edge_orders: Column) -> Column:
