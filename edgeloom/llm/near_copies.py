@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.workers import lean_batches, tidy
 from edgeloom.operators.components import connected_components
-from edgeloom.plans.durable import written
+from edgeloom.plans.durable import forget, written
 
 SHINGLE = 5
 TURNED = math.acos(8 / 9) / math.pi  # share of the bits that differ at similarity 0.8 in sets of one size
@@ -47,12 +47,13 @@ MISS = 0.005
 FAR = 36  # of the 128 further bits; at 0.8 19 differ with a deviation of 4, of strangers 64
 CERTAIN = 3.5  # deviations from the mean at which the whole sketch rules a pair out
 CROWD = 32
-LEADERS = (4, 64)  # of a crowd, in the first and in a later round
+LEADERS = (2, 16)  # of a crowd, in the first and in a later round
 LOCAL_CROWD = 64  # nodes of one batch at one variant from which on they go to the crowd's rows at once
 BATCH = 8192
 VARIANTS_PER_BUCKET = 500_000
 BROADCAST_ROWS = 400_000
 SALTS = 32
+PLACE = 4096  # members of a crowd that meet its leaders in one place
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _LOW = _U(0x0101010101010101)
@@ -295,7 +296,9 @@ def _held(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     side = F.broadcast(chosen) if count <= BROADCAST_ROWS else chosen
     texts = docs.join(side, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("key", "text")
     sets = texts.mapInArrow(_sets, "key long, held binary")
-    return written(sets if alike == 1 else sets.groupBy("key").agg(F.first("held").alias("held")), "held")  # rows that are equal in doc_id and text come in numbers
+    held = written(sets if alike == 1 else sets.groupBy("key").agg(F.first("held").alias("held")), "held")  # rows that are equal in doc_id and text come in numbers
+    forget(chosen)
+    return held
 
 
 def _verified(pairs: DataFrame, held: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
@@ -318,13 +321,15 @@ def _verified(pairs: DataFrame, held: DataFrame, nodes: DataFrame, bits: int) ->
 def _crowd_links(crowd: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``links`` and those that are found in crowds."""
     led, tried, first = None, None, True
-    crowd = written(crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("meets")), "key"), "crowd")
+    crowd = whole = written(crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("meets")), "key"), "crowd")
     while True:
         comp = connected_components(links).withColumnRenamed("id", "key")
         state = crowd.join(comp, "key", "left").select("slot", "key", "n", "c0", "c1", "meets", F.coalesce("comp", "key").alias("root"))
         roots = state.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("m"))
-        top = roots.groupBy("slot").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("slot", "top")
+        top = roots.groupBy("slot").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("size")).where("roots > 1").select("slot", "top", F.ceil(F.col("size") / PLACE).cast("int").alias("places"))
         crowd = written(state.join(top, "slot"), "crowd")  # slots of one component are done
+        forget(whole)
+        whole = crowd
         rest = crowd.where("root <> top")
         if led is not None:
             rest = rest.join(led, ["slot", "key"], "left_anti")
@@ -334,21 +339,23 @@ def _crowd_links(crowd: DataFrame, links: DataFrame, verify: Callable[[DataFrame
         draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)  # one order for all slots, so that their leaders are the same
         some = LEADERS[0] if first else LEADERS[1]
         hubs = rest.join(many, "slot").where((F.col("key") == F.col("_most.key")) | (draw < some / F.col("_c")))
-        hubs = written(hubs.select("slot", "key", "n", "c0", "c1", "root"), "leaders")
+        hubs = written(hubs.select("slot", "places", "key", "n", "c0", "c1", "root"), "leaders")
         if hubs.isEmpty():
+            forget(crowd)
             return links
-        spread = hubs.select("slot", *[F.col(c).alias(f"{c}_") for c in ("key", "n", "c0", "c1", "root")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        both = crowd.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(spread, ["slot", "salt"]).where("root <> root_")
+        spread = hubs.select("slot", *[F.col(c).alias(f"{c}_") for c in ("key", "n", "c0", "c1", "root")], F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"))
+        both = crowd.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("places")).cast("int")).join(spread, ["slot", "salt"]).where("root <> root_")
         far = F.bit_count(F.col("c0").bitwiseXOR(F.col("c0_"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("c1_")))
         pairs = both.where((5 * F.least("n", "n_") >= 4 * F.greatest("n", "n_")) & (far <= FAR)).select("key", F.col("key_").alias("other")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["key", "other"], "left_anti")
         pairs = written(pairs, "pairs")
-        links = written(links.unionAll(verify(pairs)), "links")
+        last, links = links, written(links.unionAll(verify(pairs)), "links")
+        forget(last)
         tried = pairs if tried is None else tried.unionAll(pairs)
         own = hubs.select("slot", "key")
         led, first = own if led is None else led.unionAll(own), False
-        crowd = crowd.drop("root", "top")
+        crowd = crowd.drop("root", "top", "places")
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
@@ -360,9 +367,12 @@ def near_links(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     held = _held(docs, nodes, wanted)
     bits = math.prod(shape(rows)) + 128
     links = written(_verified(pairs, held, nodes, bits), "links")
-    if crowd.isEmpty():
-        return links
-    return _crowd_links(crowd, links, lambda some: _verified(some, held, nodes, bits))
+    forget(pairs)
+    if not crowd.isEmpty():
+        links = _crowd_links(crowd, links, lambda some: _verified(some, held, nodes, bits))
+    forget(met)
+    forget(held)
+    return links
 
 
 def text_key() -> Column:
@@ -386,4 +396,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = nodes.select("key", "least").join(comp, "key", "left").select("key", "least", F.coalesce("comp", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = rooted.join(named, "root").select("key", "root", "component_id")
-    return marks.select("doc_id", "key").join(names, "key").select("doc_id", "key", "root", "component_id")
+    out = written(marks.select("doc_id", "key").join(names, "key").select("doc_id", "key", "root", "component_id"), "groups")
+    forget(marks)
+    forget(nodes)
+    return out
