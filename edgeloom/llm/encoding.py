@@ -19,7 +19,7 @@ from array import array
 
 import numpy as np
 
-KEPT = 400_000
+KEPT = 600_000
 SHORT = 64
 _SEGMENT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s!-@\[-`{-~]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
