@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +46,11 @@ from edgeloom.plans.durable import forget, written
 SHINGLE = 5
 TURNED = math.acos(8 / 9) / math.pi  # share of the bits that differ at similarity 0.8 in sets of one size
 MISS = 0.005
-FAR = 36  # of the 128 further bits; at 0.8 19 differ with a deviation of 4, of strangers 64
+CHECKS = 4  # words of 64 further bits
+FAR = 62  # of these bits; at 0.8 39 differ with a deviation of 6, of strangers 128
 CERTAIN = 3.5  # deviations from the mean at which the whole sketch rules a pair out
 CROWD = 32
-LEADERS = (2, 16)  # of a crowd, in the first and in a later round
+LEADERS = (4, 64)  # of a crowd, in the first and in a later round
 LOCAL_CROWD = 64  # nodes of one batch at one variant from which on they go to the crowd's rows at once
 BATCH = 8192
 VARIANTS_PER_BUCKET = 500_000
@@ -91,6 +94,12 @@ def shape(rows: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
 
+def width(rows: int) -> int:
+    """Words of 64 bits in a sketch: the fingerprints of all tables, then the further bits."""
+    bits, tables = shape(rows)
+    return -(-bits * tables // 64) + CHECKS
+
+
 def sketches(sets: list[np.ndarray], words: int) -> np.ndarray:
     """A row of 64 * ``words`` SimHash bits (as bytes, lowest bit first) for each set."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -166,7 +175,8 @@ def variants(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _DEALT = "bucket long, keys binary, sizes binary, checks binary, slots binary, who binary, hot binary"
-_MET = "slot long, key long, n long, c0 long, c1 long, other long"
+_MET = "slot long, key long, n long, " + ", ".join(f"c{k} long" for k in range(CHECKS)) + ", other long"
+_MARKS = [f"c{k}" for k in range(CHECKS)]
 
 
 def _emit(bits: int, tables: int, split: int):
@@ -175,7 +185,7 @@ def _emit(bits: int, tables: int, split: int):
 
     def rows_of(keys, sizes, sketch, turn):
         flat = np.unpackbits(sketch, axis=1, bitorder="little")[:, : bits * tables].reshape(len(keys), tables, bits)
-        checks = np.ascontiguousarray(sketch[:, -16:]).view("<u8")
+        checks = np.ascontiguousarray(sketch[:, -8 * CHECKS :]).view("<u8")
         slot, who = variants((flat.astype(np.int64) << np.arange(bits, dtype=np.int64)).sum(2), bits)
         order = np.argsort(slot, kind="stable")
         slot, who = slot[order], who[order]
@@ -228,7 +238,7 @@ def _meet(bits: int, tables: int, split: int, crowd: int):
 
     def met(bucket: int, table: pa.Table) -> pa.RecordBatch:
         cat = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
-        keys, sizes, checks = cat("keys", "<i8"), cat("sizes", "<u4").astype(np.int64), cat("checks", "<u8").reshape(-1, 2)
+        keys, sizes, checks = cat("keys", "<i8"), cat("sizes", "<u4").astype(np.int64), cat("checks", "<u8").reshape(-1, CHECKS)
         slots = cat("slots", "<u4").astype(np.int64) + ((bucket % deals) << (bits - split))
         per = [len(x) // 8 for x in table["keys"].to_pylist()]
         counts = [len(x) // 2 for x in table["who"].to_pylist()]
@@ -259,8 +269,7 @@ def _meet(bits: int, tables: int, split: int, crowd: int):
             np.concatenate([zero - 1, slots[members]]),
             np.concatenate([found[:, 0], keys[node]]),
             np.concatenate([zero, sizes[node]]),
-            np.concatenate([zero, checks[node, 0].view(np.int64)]),
-            np.concatenate([zero, checks[node, 1].view(np.int64)]),
+            *(np.concatenate([zero, checks[node, k].astype(np.int64)]) for k in range(CHECKS)),
             np.concatenate([found[:, 1], np.zeros(m, np.int64)]),
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in _MET.split(", ")])
@@ -324,7 +333,7 @@ def _crowd_links(crowd: DataFrame, links: DataFrame, verify: Callable[[DataFrame
     crowd = whole = written(crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("meets")), "key"), "crowd")
     while True:
         comp = connected_components(links).withColumnRenamed("id", "key")
-        state = crowd.join(comp, "key", "left").select("slot", "key", "n", "c0", "c1", "meets", F.coalesce("comp", "key").alias("root"))
+        state = crowd.join(comp, "key", "left").select("slot", "key", "n", *_MARKS, "meets", F.coalesce("comp", "key").alias("root"))
         roots = state.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("m"))
         top = roots.groupBy("slot").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("size")).where("roots > 1").select("slot", "top", F.ceil(F.col("size") / PLACE).cast("int").alias("places"))
         crowd = written(state.join(top, "slot"), "crowd")  # slots of one component are done
@@ -339,13 +348,13 @@ def _crowd_links(crowd: DataFrame, links: DataFrame, verify: Callable[[DataFrame
         draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)  # one order for all slots, so that their leaders are the same
         some = LEADERS[0] if first else LEADERS[1]
         hubs = rest.join(many, "slot").where((F.col("key") == F.col("_most.key")) | (draw < some / F.col("_c")))
-        hubs = written(hubs.select("slot", "places", "key", "n", "c0", "c1", "root"), "leaders")
+        hubs = written(hubs.select("slot", "places", "key", "n", *_MARKS, "root"), "leaders")
         if hubs.isEmpty():
             forget(crowd)
             return links
-        spread = hubs.select("slot", *[F.col(c).alias(f"{c}_") for c in ("key", "n", "c0", "c1", "root")], F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"))
+        spread = hubs.select("slot", *[F.col(c).alias(f"{c}_") for c in ("key", "n", *_MARKS, "root")], F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"))
         both = crowd.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("places")).cast("int")).join(spread, ["slot", "salt"]).where("root <> root_")
-        far = F.bit_count(F.col("c0").bitwiseXOR(F.col("c0_"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("c1_")))
+        far = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in _MARKS])
         pairs = both.where((5 * F.least("n", "n_") >= 4 * F.greatest("n", "n_")) & (far <= FAR)).select("key", F.col("key_").alias("other")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["key", "other"], "left_anti")
@@ -362,10 +371,10 @@ def near_links(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """src, dst: links that keep the components of near copies among the nodes (key, least, alike, n, sketch); ``docs`` (doc_id, key, text) has their texts."""
     met = _met(nodes, rows)
     pairs = written(met.where("slot = -1").select("key", "other").distinct(), "pairs")
-    crowd = met.where("slot >= 0").select("slot", "key", "n", "c0", "c1")
+    crowd = met.where("slot >= 0").select("slot", "key", "n", *_MARKS)
     wanted = pairs.select("key").unionAll(pairs.select("other")).unionAll(crowd.select("key")).distinct()
     held = _held(docs, nodes, wanted)
-    bits = math.prod(shape(rows)) + 128
+    bits = 64 * width(rows)
     links = written(_verified(pairs, held, nodes, bits), "links")
     forget(pairs)
     if not crowd.isEmpty():
@@ -384,11 +393,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, key (``text_key``), root (a key of the component), component_id (the smallest doc_id reachable over near copies)."""
     lean_batches(docs.sparkSession)
     rows = docs.count()
-    bits, tables = shape(rows)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), text.alias("text"))
-    words = -(-bits * tables // 64) + 2
-    marks = written(keyed.mapInArrow(_sketch(words), "doc_id long, key long, n long, sketch binary"), "marks")
+    marks = written(keyed.mapInArrow(_sketch(width(rows)), "doc_id long, key long, n long, sketch binary"), "marks")
     who = marks.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("alike"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "alike", "n", "sketch")).alias("m")
     nodes = written(who.groupBy("key").agg(least).select("key", F.col("m.doc_id").alias("least"), "m.alike", "m.n", "m.sketch"), "nodes")
