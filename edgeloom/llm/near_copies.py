@@ -48,6 +48,7 @@ TURNED = math.acos(8 / 9) / math.pi  # share of the bits that differ at similari
 MISS = 0.005
 CHECKS = 4  # words of 64 further bits
 FAR = 62  # of these bits; at 0.8 39 differ with a deviation of 6, of strangers 128
+SMALL, TURNED_SMALL, FAR_SMALL = 16, 0.1875, 75  # sets of so few shingles differ in more bits at 0.8, up to those of 4 and 5
 CERTAIN = 3.5  # deviations from the mean at which the whole sketch rules a pair out
 CROWD = 32
 LEADERS = (4, 64)  # of a crowd, in the first and in a later round
@@ -138,13 +139,13 @@ def _sets(batches):
 
 def _likely(bits: int):
     """Of pairs with both sketches those that their first ``bits`` bits leave open."""
-    most = bits * (TURNED + CERTAIN * math.sqrt(TURNED * (1 - TURNED) / bits))
+    most, most_small = (bits * (p + CERTAIN * math.sqrt(p * (1 - p) / bits)) for p in (TURNED, TURNED_SMALL))
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("a", "b"))
-                yield b.select(["src", "dst", "salt"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most))
+                yield b.select(["src", "dst", "salt"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= np.where(b["n"].to_numpy() <= SMALL, most_small, most)))
         tidy()
 
     return run
@@ -228,8 +229,9 @@ def _emit(bits: int, tables: int, split: int):
 
 
 def may_be_near(n: np.ndarray, checks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    fits = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
-    return fits & (np.bitwise_count(checks[a] ^ checks[b]).sum(1, dtype=np.int64) <= FAR)
+    least = np.minimum(n[a], n[b])
+    fits = 5 * least >= 4 * np.maximum(n[a], n[b])
+    return fits & (np.bitwise_count(checks[a] ^ checks[b]).sum(1, dtype=np.int64) <= np.where(least <= SMALL, FAR_SMALL, FAR))
 
 
 def _meet(bits: int, tables: int, split: int, crowd: int):
@@ -319,7 +321,7 @@ def _verified(pairs: DataFrame, held: DataFrame, nodes: DataFrame, bits: int) ->
     """
     salted = pairs.select(F.col("key").alias("src"), F.col("other").alias("dst"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
     marked = salted.select("dst", "salt").distinct().join(nodes.select(F.col("key").alias("dst"), F.col("sketch").alias("b")), "dst")
-    both = salted.join(nodes.select(F.col("key").alias("src"), F.col("sketch").alias("a")), "src").join(marked, ["dst", "salt"])
+    both = salted.join(nodes.select(F.col("key").alias("src"), F.col("sketch").alias("a"), "n"), "src").join(marked, ["dst", "salt"])
     likely = written(both.mapInArrow(_likely(bits), "src long, dst long, salt int"), "likely")
     heads = likely.select("dst", "salt").distinct().join(held.withColumnRenamed("key", "dst"), "dst").select("dst", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("src"), "held")
     members = likely.join(held.withColumnRenamed("key", "src"), "src").select("dst", "salt", F.lit(1).alias("kind"), "src", "held")
@@ -355,7 +357,7 @@ def _crowd_links(crowd: DataFrame, links: DataFrame, verify: Callable[[DataFrame
         spread = hubs.select("slot", *[F.col(c).alias(f"{c}_") for c in ("key", "n", *_MARKS, "root")], F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"))
         both = crowd.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("places")).cast("int")).join(spread, ["slot", "salt"]).where("root <> root_")
         far = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in _MARKS])
-        pairs = both.where((5 * F.least("n", "n_") >= 4 * F.greatest("n", "n_")) & (far <= FAR)).select("key", F.col("key_").alias("other")).distinct()
+        pairs = both.where((5 * F.least("n", "n_") >= 4 * F.greatest("n", "n_")) & (far <= F.when(F.least("n", "n_") <= SMALL, FAR_SMALL).otherwise(FAR))).select("key", F.col("key_").alias("other")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["key", "other"], "left_anti")
         pairs = written(pairs, "pairs")
