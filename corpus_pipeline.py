@@ -28,8 +28,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near copies (SimHash, then five-word shingles with a Jaccard of 0.8 at least) the row with the smallest doc_id stays (null is the largest; of rows with one text and doc_id the first by source, lang and n_chars)."""
     docs = docs.select(*COLUMNS)
     groups = near_copies.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("_key"), F.coalesce("m.doc_id", F.lit(NONE)).alias("_id"))
+    per = groups.groupBy("root", F.col("key").alias("_key"), "doc_id").agg(F.count(F.lit(1)).alias("alike")).withColumn("_id", F.coalesce("doc_id", F.lit(NONE)))
+    first = per.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_id", "alike")).alias("m")).select("m._key", "m._id", "m.alike")
+    first = written(first, "first")
     named = docs.withColumn("_key", near_copies.text_key()).withColumn("_id", F.coalesce("doc_id", F.lit(NONE)))
+    gone = written(per.select("_key", "_id").distinct().join(first, ["_key", "_id"], "left_anti"), "gone")
+    if first.agg(F.max("alike")).head()[0] in (None, 1) and gone.count() <= near_copies.BROADCAST_ROWS:  # texts need not move
+        return named.join(F.broadcast(gone), ["_key", "_id"], "left_anti").select(*COLUMNS)
     again = Window.partitionBy("_key", "_id").orderBy(F.col("doc_id").isNull(), "source", "lang", "n_chars")  # dealt as the join has dealt the rows: texts move once
     return named.join(first, ["_key", "_id"], "left_semi").withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*COLUMNS)
 

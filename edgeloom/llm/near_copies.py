@@ -10,14 +10,16 @@ shuffled on their value; texts that share one and whose sizes and SimHash bits
 in all allow the similarity are candidates, and each candidate pair is decided
 on the full sets of both texts. ``bits`` follows the number of rows, so
 that a text meets few strangers, and ``tables`` follows from it: a pair at 0.8
-meets nowhere with a chance of ``MISS``.
+meets nowhere with a chance of ``MISS``. The tables are met in passes, so that
+what is on disk at once stays at ``PASS`` bytes a row.
 
-Equal texts are one node, so copies cost nothing beyond their first row. Up to
-``CROWD`` nodes at one variant are all paired. A larger crowd is never paired
-with itself: in rounds, some of its nodes (first the one that meets most others
-anywhere) are compared with all its nodes of other components, until each node
-outside the largest component has been compared or joined it. So every pair of
-the crowd is either decided or known to be connected.
+Equal texts are one node, so copies cost nothing beyond their first row. Pairs
+that meet are never listed one by one: each bucket gives, for the nodes that its
+pairs hang together, a link to the smallest, and larger crowds at one variant
+are dealt apart and give the same. The components of these links hold every
+pair that met; inside a component all pairs are decided on the full sets, except
+those that are known to be connected, and only a spanning forest is given out. A
+large component is cut into places, and every two places meet in one task.
 
 Defined results: a text of fewer than five words is one shingle, a null, empty
 or blank text an empty one; null and repeated doc_ids keep their rows (a null
@@ -29,9 +31,8 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +50,15 @@ MISS = 0.005
 CHECKS = 4  # words of 64 further bits
 FAR = 62  # of these bits; at 0.8 39 differ with a deviation of 6, of strangers 128
 SMALL, TURNED_SMALL, FAR_SMALL = 16, 0.1875, 75  # sets of so few shingles differ in more bits at 0.8, up to those of 4 and 5
-CERTAIN = 3.5  # deviations from the mean at which the whole sketch rules a pair out
 CROWD = 32
-LEADERS = (4, 64)  # of a crowd, in the first and in a later round
 LOCAL_CROWD = 64  # nodes of one batch at one variant from which on they go to the crowd's rows at once
 BATCH = 8192
 VARIANTS_PER_BUCKET = 500_000
 BROADCAST_ROWS = 400_000
-SALTS = 32
-PLACE = 4096  # members of a crowd that meet its leaders in one place
+PASS = 1000  # bytes a row that move in one pass
+PLACES = 8  # a group of several times ``least`` nodes is cut into so many places, a larger one by the two bounds below
+PLACE = 4096  # nodes
+PLACE_SHINGLES = 1 << 20
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _LOW = _U(0x0101010101010101)
@@ -137,39 +138,135 @@ def _sets(batches):
     tidy()
 
 
-def _likely(bits: int):
-    """Of pairs with both sketches those that their first ``bits`` bits leave open."""
-    most, most_small = (bits * (p + CERTAIN * math.sqrt(p * (1 - p) / bits)) for p in (TURNED, TURNED_SMALL))
+def _forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of ``near``, which tells for a node and others which of these it is linked to. Nodes that are known to be connected are not compared."""
+    left, waiting, ends = np.arange(count), [], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while len(left):
+        if waiting:
+            at = waiting.pop()
+        else:
+            at, left = int(left[0]), left[1:]
+        ok = near(at, left)
+        found = left[ok]
+        if len(found):
+            ends.append((np.full(len(found), at), found))
+            waiting.extend(found.tolist())
+            left = left[~ok]
+    return tuple(np.concatenate(e) for e in zip(*ends, strict=True))
+
+
+def _smallest(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0 .. count - 1 the smallest in its component over the links a, b."""
+    label = np.arange(count)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _runs(batches) -> Iterator[pa.Table]:
+    """The rows of each block: those that follow each other with one group, lo and hi."""
+    held, last = [], None
+    for b in batches:
+        if b.num_rows:
+            ids = np.stack([b[c].to_numpy() for c in ("group", "lo", "hi")], 1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), len(ids)]
+            for start, end in zip(cuts, cuts[1:]):
+                if held and last != tuple(ids[start]):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = tuple(ids[start])
+                held.append(b.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linked(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (src, dst)], names=["src", "dst"])
+
+
+def _alike(batches):
+    """Nodes of a block that may be near hang on the smallest of theirs."""
+    src, dst = [], []
+    for t in _runs(batches):
+        t = t.sort_by("key")
+        keys, sizes = t["key"].to_numpy(), t["n"].to_numpy()
+        checks = np.stack([t[c].to_numpy() for c in _MARKS], 1)
+        root = _smallest(len(keys), *_forest(len(keys), lambda i, others, n=sizes, c=checks: may_be_near(n, c, i, others)))
+        own = np.flatnonzero(root != np.arange(len(keys)))
+        src.append(keys[root[own]])
+        dst.append(keys[own])
+    yield _linked(src, dst)
+    tidy()
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("a", "b"))
-                yield b.select(["src", "dst", "salt"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= np.where(b["n"].to_numpy() <= SMALL, most_small, most)))
-        tidy()
 
-    return run
+def near_forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that are near and span all components of near copies among the sets."""
+    if len(sets) == 2:
+        return (np.arange(1), np.arange(1, 2)) if is_near(*sets) else (np.arange(0), np.arange(0))
+    n = np.array([len(s) for s in sets], np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    node = np.repeat(np.arange(len(sets), dtype=np.int32), n)
+    most = int(ids.max()) + 1
+
+    def listed(open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The open nodes by shingle, where each shingle's begin, and how many nodes there are."""
+        mask = np.zeros(len(sets), bool)
+        mask[open_] = True
+        some = mask[node]
+        order = np.argsort(ids[some], kind="stable")
+        return node[some][order], np.concatenate([[0], np.cumsum(np.bincount(ids[some], minlength=most))]), len(open_)
+
+    held = listed(np.arange(len(sets)))
+
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        nonlocal held
+        if 2 * len(others) < held[2]:
+            held = listed(others)
+        nodes, begin, _ = held
+        mine = ids[first[at] : first[at + 1]]
+        counts = begin[mine + 1] - begin[mine]
+        place = np.repeat(begin[mine] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = np.bincount(nodes[place], minlength=len(sets))[others]
+        return 5 * both >= 4 * (n[at] + n[others] - both)
+
+    return _forest(len(sets), near)
+
+
+def _near(batches):
+    """The near pairs that span the components of a block."""
+    src, dst = [], []
+    for t in _runs(batches):
+        keys = t["key"].to_numpy()
+        a, b = near_forest([np.frombuffer(x, _U) for x in t["held"].to_pylist()])
+        src.append(keys[a])
+        dst.append(keys[b])
+    yield _linked(src, dst)
+    tidy()
 
 
-def _decide(batches):
-    """Rows come by dst and salt, the shingles of dst (kind 0) before those of its partners (kind 1)."""
-    head = None
-    for b in batches:
-        out: list[tuple[int, int]] = []
-        for dst, kind, src, held in zip(b["dst"].to_pylist(), b["kind"].to_pylist(), b["src"].to_pylist(), b["held"], strict=True):
-            found = np.frombuffer(held.as_buffer(), _U)
-            if kind == 0:
-                head = found.copy()
-            elif is_near(head, found):
-                out.append((src, dst))
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
-    tidy()
+def in_blocks(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` (group, key, n, more) with lo and hi, sorted by block: every two rows of a group share a block. A group of at most ``least`` is one block; in a larger one each pair of places is a block."""
+    m, n = F.count(F.lit(1)), F.sum("n")
+    parts = F.greatest(F.least(F.ceil(m / least), F.lit(PLACES)), F.ceil(m / PLACE), F.ceil(n / PLACE_SHINGLES)).cast("int")
+    many = rows.groupBy("group").agg(parts.alias("places")).where("places > 1")
+    placed = rows.join(many, "group", "left").withColumn("places", F.coalesce("places", F.lit(1))).withColumn("lo", F.pmod(F.xxhash64("key"), F.col("places")).cast("int"))
+    others = F.when(F.col("places") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("places") - 1), F.array("lo")))
+    met = placed.withColumn("hi", F.explode(others)).withColumn("lo_", F.least("lo", "hi")).withColumn("hi", F.greatest("lo", "hi"))
+    met = met.withColumn("lo", F.col("lo_")).drop("lo_", "places")
+    return met.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
 
 
-def variants(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, node) of the balls of half the radius; ``values`` has a row per node, a column per table, a slot is table and value."""
+def variants(values: np.ndarray, bits: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, node) of the balls of half the radius; ``values`` has a row per node, a column per table from ``first`` on, a slot is table and value."""
     node, table = np.divmod(np.arange(values.size), values.shape[1])
-    slot = (table << bits) | values.ravel()
+    slot = ((table + first) << bits) | values.ravel()
     odd = np.bitwise_count(values.ravel().astype(_U)) % 2 == 1
     turned = slot[odd][:, None] ^ (np.int64(1) << np.arange(bits, dtype=np.int64))[None, :]
     return np.concatenate([slot[~odd], turned.ravel()]), np.concatenate([node[~odd], np.repeat(node[odd], bits)])
@@ -180,14 +277,14 @@ _MET = "slot long, key long, n long, " + ", ".join(f"c{k} long" for k in range(C
 _MARKS = [f"c{k}" for k in range(CHECKS)]
 
 
-def _emit(bits: int, tables: int, split: int):
-    """A row per batch and bucket: its nodes, and the variants by node. Buckets from ``tables << split`` on hold crowds' rows, in turns."""
+def _emit(bits: int, tables: int, split: int, first: int, last: int):
+    """A row per batch and bucket of the tables from ``first`` to before ``last``: its nodes, and the variants by node. Buckets from ``tables << split`` on hold crowds' rows, in turns."""
     deals = tables << split
 
     def rows_of(keys, sizes, sketch, turn):
-        flat = np.unpackbits(sketch, axis=1, bitorder="little")[:, : bits * tables].reshape(len(keys), tables, bits)
+        flat = np.unpackbits(sketch, axis=1, bitorder="little")[:, bits * first : bits * last].reshape(len(keys), last - first, bits)
         checks = np.ascontiguousarray(sketch[:, -8 * CHECKS :]).view("<u8")
-        slot, who = variants((flat.astype(np.int64) << np.arange(bits, dtype=np.int64)).sum(2), bits)
+        slot, who = variants((flat.astype(np.int64) << np.arange(bits, dtype=np.int64)).sum(2), bits, first)
         order = np.argsort(slot, kind="stable")
         slot, who = slot[order], who[order]
         start = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
@@ -235,7 +332,7 @@ def may_be_near(n: np.ndarray, checks: np.ndarray, a: np.ndarray, b: np.ndarray)
 
 
 def _meet(bits: int, tables: int, split: int, crowd: int):
-    """Candidate pairs (slot -1), and the members of crowds."""
+    """Links to the smallest of the nodes that candidate pairs hang together (slot -1), and the members of crowds."""
     deals = tables << split
 
     def met(bucket: int, table: pa.Table) -> pa.RecordBatch:
@@ -245,7 +342,7 @@ def _meet(bits: int, tables: int, split: int, crowd: int):
         per = [len(x) // 8 for x in table["keys"].to_pylist()]
         counts = [len(x) // 2 for x in table["who"].to_pylist()]
         who = cat("who", "<u2").astype(np.int64) + np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), counts)
-        pairs = [np.zeros((0, 2), np.int64)]
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if bucket >= deals:
             members = np.arange(len(slots))
         else:
@@ -262,9 +359,12 @@ def _meet(bits: int, tables: int, split: int, crowd: int):
                     some = runs[at : at + max(1, 400_000 // len(i)), None]
                     a, b = who[(some + i).ravel()], who[(some + j).ravel()]
                     ok = may_be_near(sizes, checks, a, b)
-                    pairs.append(np.stack([keys[a[ok]], keys[b[ok]]], 1))
-        found = np.concatenate(pairs)
-        found = np.unique(np.sort(found, 1), axis=0)
+                    pairs.append((a[ok], b[ok]))
+        by_key = np.argsort(keys)
+        rank = np.argsort(by_key)
+        root = _smallest(len(keys), *(rank[np.concatenate(e)] for e in zip(*pairs, strict=True)))
+        own = np.flatnonzero(root != np.arange(len(keys)))
+        found = np.stack([keys[by_key[root[own]]], keys[by_key[own]]], 1)
         m, node = len(members), who[members]
         zero = np.zeros(len(found), np.int64)
         cols = [
@@ -290,14 +390,24 @@ def _meet(bits: int, tables: int, split: int, crowd: int):
     return run
 
 
-def _met(nodes: DataFrame, rows: int) -> DataFrame:
-    """Written table of candidate pairs (slot -1) and crowds' members."""
+def passes(rows: int, bits: int, tables: int, split: int) -> list[tuple[int, int]]:
+    """Runs of tables whose variants take at most ``PASS`` bytes a row, or one table."""
+    per = 3 * (bits + 1) + (2 + split) / 2 * (12 + 8 * CHECKS)
+    step = max(1, int(PASS / per))
+    return [(k, min(tables, k + step)) for k in range(0, tables, step)]
+
+
+def _met(nodes: DataFrame, rows: int) -> list[DataFrame]:
+    """Written tables of candidates' links (slot -1) and crowds' members."""
     bits, tables = shape(rows)
     total = rows * tables * (bits + 1) // 2
     split = min(bits - 1, max(0, math.ceil(math.log2(max(1, total / tables / VARIANTS_PER_BUCKET)))))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BATCH))
-    dealt = nodes.select("key", "n", "sketch").repartition(parts, "key").mapInArrow(_emit(bits, tables, split), _DEALT)
-    return written(dealt.repartition("bucket").mapInArrow(_meet(bits, tables, split, CROWD), _MET), "met")
+    out = []
+    for first, last in passes(rows, bits, tables, split):
+        dealt = nodes.select("key", "n", "sketch").repartition(parts, "key").mapInArrow(_emit(bits, tables, split, first, last), _DEALT)
+        out.append(written(dealt.repartition("bucket").mapInArrow(_meet(bits, tables, split, CROWD), _MET), "met"))
+    return out
 
 
 def _held(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -312,76 +422,19 @@ def _held(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return held
 
 
-def _verified(pairs: DataFrame, held: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
-    """src, dst: the pairs (key, other) that are near.
-
-    Sketches leave few pairs that are not; of these one side travels to the
-    other. One ``other`` may stand in very many pairs, so it is met in ``SALTS``
-    places.
-    """
-    salted = pairs.select(F.col("key").alias("src"), F.col("other").alias("dst"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
-    marked = salted.select("dst", "salt").distinct().join(nodes.select(F.col("key").alias("dst"), F.col("sketch").alias("b")), "dst")
-    both = salted.join(nodes.select(F.col("key").alias("src"), F.col("sketch").alias("a"), "n"), "src").join(marked, ["dst", "salt"])
-    likely = written(both.mapInArrow(_likely(bits), "src long, dst long, salt int"), "likely")
-    heads = likely.select("dst", "salt").distinct().join(held.withColumnRenamed("key", "dst"), "dst").select("dst", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("src"), "held")
-    members = likely.join(held.withColumnRenamed("key", "src"), "src").select("dst", "salt", F.lit(1).alias("kind"), "src", "held")
-    dealt = heads.unionByName(members).repartition("dst", "salt").sortWithinPartitions("dst", "salt", "kind")
-    return dealt.mapInArrow(_decide, "src long, dst long")
-
-
-def _crowd_links(crowd: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``links`` and those that are found in crowds."""
-    led, tried, first = None, None, True
-    crowd = whole = written(crowd.join(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("meets")), "key"), "crowd")
-    while True:
-        comp = connected_components(links).withColumnRenamed("id", "key")
-        state = crowd.join(comp, "key", "left").select("slot", "key", "n", *_MARKS, "meets", F.coalesce("comp", "key").alias("root"))
-        roots = state.groupBy("slot", "root").agg(F.count(F.lit(1)).alias("m"))
-        top = roots.groupBy("slot").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("size")).where("roots > 1").select("slot", "top", F.ceil(F.col("size") / PLACE).cast("int").alias("places"))
-        crowd = written(state.join(top, "slot"), "crowd")  # slots of one component are done
-        forget(whole)
-        whole = crowd
-        rest = crowd.where("root <> top")
-        if led is not None:
-            rest = rest.join(led, ["slot", "key"], "left_anti")
-        if first:  # nothing is known yet of a largest component
-            rest = crowd
-        many = rest.groupBy("slot").agg(F.count(F.lit(1)).alias("_c"), F.max(F.struct("meets", "key")).alias("_most"))
-        draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)  # one order for all slots, so that their leaders are the same
-        some = LEADERS[0] if first else LEADERS[1]
-        hubs = rest.join(many, "slot").where((F.col("key") == F.col("_most.key")) | (draw < some / F.col("_c")))
-        hubs = written(hubs.select("slot", "places", "key", "n", *_MARKS, "root"), "leaders")
-        if hubs.isEmpty():
-            forget(crowd)
-            return links
-        spread = hubs.select("slot", *[F.col(c).alias(f"{c}_") for c in ("key", "n", *_MARKS, "root")], F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("salt"))
-        both = crowd.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("places")).cast("int")).join(spread, ["slot", "salt"]).where("root <> root_")
-        far = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in _MARKS])
-        pairs = both.where((5 * F.least("n", "n_") >= 4 * F.greatest("n", "n_")) & (far <= F.when(F.least("n", "n_") <= SMALL, FAR_SMALL).otherwise(FAR))).select("key", F.col("key_").alias("other")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["key", "other"], "left_anti")
-        pairs = written(pairs, "pairs")
-        last, links = links, written(links.unionAll(verify(pairs)), "links")
-        forget(last)
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        own = hubs.select("slot", "key")
-        led, first = own if led is None else led.unionAll(own), False
-        crowd = crowd.drop("root", "top", "places")
-
-
 def near_links(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """src, dst: links that keep the components of near copies among the nodes (key, least, alike, n, sketch); ``docs`` (doc_id, key, text) has their texts."""
     met = _met(nodes, rows)
-    pairs = written(met.where("slot = -1").select("key", "other").distinct(), "pairs")
-    crowd = met.where("slot >= 0").select("slot", "key", "n", *_MARKS)
-    wanted = pairs.select("key").unionAll(pairs.select("other")).unionAll(crowd.select("key")).distinct()
-    held = _held(docs, nodes, wanted)
-    bits = 64 * width(rows)
-    links = written(_verified(pairs, held, nodes, bits), "links")
-    forget(pairs)
-    if not crowd.isEmpty():
-        links = _crowd_links(crowd, links, lambda some: _verified(some, held, nodes, bits))
-    forget(met)
+    every = reduce(DataFrame.unionAll, met)
+    crowd = in_blocks(every.where("slot >= 0").select(F.col("slot").alias("group"), "key", "n", *_MARKS), 1024)
+    alike = every.where("slot = -1").select(F.col("key").alias("src"), F.col("other").alias("dst")).unionAll(crowd.mapInArrow(_alike, "src long, dst long"))
+    comp = connected_components(alike).select(F.col("id").alias("key"), F.col("comp").alias("group"))
+    groups = written(comp.join(nodes.select("key", "n"), "key"), "groups")
+    for part in met:
+        forget(part)
+    held = _held(docs, nodes, groups.select("key"))
+    links = written(in_blocks(groups.join(held, "key"), 256).mapInArrow(_near, "src long, dst long"), "links")
+    forget(groups)
     forget(held)
     return links
 
