@@ -121,11 +121,9 @@ def power_below(x: Column) -> Column:
 
 
 def scientific(x: Column, places: int = 4) -> Column:
-    """Text like ``3.9062E-03``, ties to even."""
-    power = F.floor(F.log10(F.abs(x)) + 1e-12)
-    lead = F.bround(x / F.pow(F.lit(10.0), power), places)
-    over = F.abs(lead) >= 10
-    return F.when(x == 0, F.format_string(f"%.{places}fE+00", x)).otherwise(F.format_string(f"%.{places}fE%+03d", F.when(over, lead / 10).otherwise(lead), F.when(over, power + 1).otherwise(power).cast("int")))
+    """Text like ``3.9062E-03`` from the exact value of the double; ties to even."""
+    exact = F.udf(lambda v: None if v is None else f"{v:.{places}E}", "string")  # no division: a quotient can round to a tie that the value is not
+    return exact(x.cast("double"))
 
 
 def title_text(name: Column, n: Column, m: Column, size: Column, unit: Column, fill: Column) -> Column:
