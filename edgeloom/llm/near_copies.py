@@ -5,8 +5,9 @@ with several short fingerprints in place of one long one: at that similarity
 0.15 of the bits of a SimHash differ, far more than three of 64. A text gets
 ``tables`` fingerprints of ``bits`` bits, and two texts meet in a table where
 these differ in one bit at most: fingerprints of odd parity emit all their
-neighbours at distance one, those of even parity themselves. The variants are
-shuffled on their value; texts that share one and whose sizes and SimHash bits
+neighbours at distance one, those of even parity themselves. A fingerprint goes
+once to each bucket of values that its variants fall in and is turned there;
+texts that share a variant and whose sizes and SimHash bits
 in all allow the similarity are candidates, and each candidate pair is decided
 on the full sets of both texts. ``bits`` follows the number of rows, so
 that a text meets few strangers, and ``tables`` follows from it: a pair at 0.8
@@ -15,11 +16,19 @@ what is on disk at once stays at ``PASS`` bytes a row.
 
 Equal texts are one node, so copies cost nothing beyond their first row. Pairs
 that meet are never listed one by one: each bucket gives, for the nodes that its
-pairs hang together, a link to the smallest, and larger crowds at one variant
-are dealt apart and give the same. The components of these links hold every
-pair that met; inside a component all pairs are decided on the full sets, except
-those that are known to be connected, and only a spanning forest is given out. A
-large component is cut into places, and every two places meet in one task.
+pairs hang together, a link to the smallest. In a crowd at one variant, nodes
+that are known to be connected are not compared; what is not settled after
+``COMPARED`` comparisons goes on to other tasks. The components of these links
+hold every pair that met; inside a component all pairs are decided on the full
+sets, except those that are known to be connected, and only a spanning forest is
+given out.
+
+A large component is cut into places (``spanned``). Each node goes to its own
+place and only a few hubs go to all; nodes that hang on one hub, in whatever
+place, are connected. Only the others, few if the component is one crowd of
+copies, meet the nodes of the other places, so rows grow with the nodes of a
+crowd, and with their square only where a component holds many that no hub
+connects.
 
 Defined results: a text of fewer than five words is one shingle, a null, empty
 or blank text an empty one; null and repeated doc_ids keep their rows (a null
@@ -50,10 +59,12 @@ MISS = 0.005
 CHECKS = 4  # words of 64 further bits
 FAR = 62  # of these bits; at 0.8 39 differ with a deviation of 6, of strangers 128
 SMALL, TURNED_SMALL, FAR_SMALL = 16, 0.1875, 75  # sets of so few shingles differ in more bits at 0.8, up to those of 4 and 5
-CROWD = 32
-LOCAL_CROWD = 64  # nodes of one batch at one variant from which on they go to the crowd's rows at once
+CROWD = 32  # nodes at one variant whose pairs are taken at once
+COMPARED = 1 << 25  # comparisons in a larger crowd before the rest goes to other tasks
+TURNED_AT_ONCE = 4_000_000  # variants
 BATCH = 8192
-VARIANTS_PER_BUCKET = 500_000
+VARIANTS_PER_BUCKET = 2_000_000
+HUBS = 16  # nodes that go to all places of their group
 BROADCAST_ROWS = 400_000
 PASS = 1000  # bytes a row that move in one pass
 PLACES = 8  # a group of several times ``least`` nodes is cut into so many places, a larger one by the two bounds below
@@ -138,21 +149,23 @@ def _sets(batches):
     tidy()
 
 
-def _forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of ``near``, which tells for a node and others which of these it is linked to. Nodes that are known to be connected are not compared."""
+def _forest(count: int, near: Callable[[int, np.ndarray], np.ndarray], most: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links that span the components of ``near``, which tells for a node and others which of these it is linked to. Nodes that are known to be connected are not compared. After ``most`` comparisons it stops: pairs that are not compared by then are among the nodes given last."""
     left, waiting, ends = np.arange(count), [], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    while len(left):
+    while len(left) and most > 0:
         if waiting:
             at = waiting.pop()
         else:
             at, left = int(left[0]), left[1:]
+        most -= len(left)
         ok = near(at, left)
         found = left[ok]
         if len(found):
             ends.append((np.full(len(found), at), found))
             waiting.extend(found.tolist())
             left = left[~ok]
-    return tuple(np.concatenate(e) for e in zip(*ends, strict=True))
+    rest = np.concatenate([np.array(waiting, np.int64), left]) if len(left) else left
+    return *(np.concatenate(e) for e in zip(*ends, strict=True)), rest
 
 
 def _smallest(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -186,29 +199,16 @@ def _runs(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _linked(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (src, dst)], names=["src", "dst"])
+def _by_marks(t: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which nodes of a block may be near."""
+    sizes, checks = t["n"].to_numpy(), np.stack([t[c].to_numpy() for c in _MARKS], 1).view(_U)  # bits of signed numbers are counted without the sign
+    return lambda i, others: may_be_near(sizes, checks, i, others)
 
 
-def _alike(batches):
-    """Nodes of a block that may be near hang on the smallest of theirs."""
-    src, dst = [], []
-    for t in _runs(batches):
-        t = t.sort_by("key")
-        keys, sizes = t["key"].to_numpy(), t["n"].to_numpy()
-        checks = np.stack([t[c].to_numpy() for c in _MARKS], 1)
-        root = _smallest(len(keys), *_forest(len(keys), lambda i, others, n=sizes, c=checks: may_be_near(n, c, i, others)))
-        own = np.flatnonzero(root != np.arange(len(keys)))
-        src.append(keys[root[own]])
-        dst.append(keys[own])
-    yield _linked(src, dst)
-    tidy()
-
-
-def near_forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that are near and span all components of near copies among the sets."""
+def _overlap(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of the sets are near. The others that are asked about have to be among those asked about before."""
     if len(sets) == 2:
-        return (np.arange(1), np.arange(1, 2)) if is_near(*sets) else (np.arange(0), np.arange(0))
+        return lambda at, others: np.array([is_near(sets[at], sets[k]) for k in others.tolist()], bool)
     n = np.array([len(s) for s in sets], np.int64)
     first = np.concatenate([[0], np.cumsum(n)])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
@@ -236,79 +236,172 @@ def near_forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         both = np.bincount(nodes[place], minlength=len(sets))[others]
         return 5 * both >= 4 * (n[at] + n[others] - both)
 
-    return _forest(len(sets), near)
+    return near
 
 
-def _near(batches):
-    """The near pairs that span the components of a block."""
-    src, dst = [], []
-    for t in _runs(batches):
-        keys = t["key"].to_numpy()
-        a, b = near_forest([np.frombuffer(x, _U) for x in t["held"].to_pylist()])
-        src.append(keys[a])
-        dst.append(keys[b])
-    yield _linked(src, dst)
-    tidy()
+def near_forest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that are near and span all components of near copies among the sets."""
+    return _forest(len(sets), _overlap(sets))[:2]
+
+
+def _by_sets(t: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+    return _overlap([np.frombuffer(x, _U) for x in t["held"].to_pylist()])
+
+
+_SPAN = "group long, src long, dst long, hubs long"
+
+
+def _span(group: np.ndarray, src: np.ndarray, dst: np.ndarray | None, hubs: np.ndarray | None = None) -> pa.RecordBatch:
+    none = pa.nulls(len(group), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(src, pa.int64()), none if dst is None else pa.array(dst, pa.int64()), none if hubs is None else pa.array(hubs, pa.int64())], names=[f.split()[0] for f in _SPAN.split(", ")])
+
+
+def _within(relation):
+    """The links that span a block; in blocks with hubs (rank 0 and up) a row for each node that is at home there, with a bit for each hub that it hangs on."""
+
+    def run(batches):
+        for t in _runs(batches):
+            keys, group = t["key"].to_numpy(), t["group"].to_numpy()
+            a, b, _ = _forest(len(keys), relation(t))
+            yield _span(group[a], keys[a], keys[b])
+            rank = t["rank"].to_numpy()
+            hub = np.flatnonzero(rank >= 0)
+            if len(hub):
+                root, bits = _smallest(len(keys), a, b), np.zeros(len(keys), np.int64)
+                np.bitwise_or.at(bits, root[hub], np.int64(1) << rank[hub])
+                home = np.flatnonzero(t["home"].to_numpy(zero_copy_only=False))
+                yield _span(group[home], keys[home], None, bits[root[home]])
+        tidy()
+
+    return run
+
+
+def _across(relation):
+    """For each open node of a block one settled node that it is linked to; the settled ones are connected already."""
+
+    def run(batches):
+        for t in _runs(batches):
+            keys, group = t["key"].to_numpy(), t["group"].to_numpy()
+            open_ = t["open"].to_numpy(zero_copy_only=False)
+            near, settled = relation(t), np.flatnonzero(~open_)
+            ends = [(settled[ok][0], at) for at in np.flatnonzero(open_).tolist() if len(settled) and (ok := near(at, settled)).any()]
+            a, b = np.array(ends, np.int64).reshape(-1, 2).T
+            yield _span(group[a], keys[a], keys[b])
+        tidy()
+
+    return run
+
+
+def _parts(least: int | None = None) -> Column:
+    """Places of a group of rows key, n."""
+    m, n = F.count(F.lit(1)), F.sum("n")
+    bound = F.greatest(F.ceil(m / PLACE), F.ceil(n / PLACE_SHINGLES), F.lit(1))
+    return (F.greatest(F.least(F.ceil(m / least), F.lit(PLACES)), bound) if least else bound).cast("int")
+
+
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64("key"), F.col(column)).cast("int")
+
+
+def _every(column: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+
+
+def spanned(rows: DataFrame, least: int, relation) -> DataFrame:
+    """src, dst: links that span the components of ``relation`` within each group of ``rows`` (group, key, n, more; keys are distinct in a group). Groups of more than ``least`` are cut into places."""
+    hubs = F.slice(F.sort_array(F.collect_set("key")), 1, HUBS)  # of the smallest of each place
+    many = rows.groupBy("group").agg(_parts(least).alias("places")).where("places > 1")
+    low = rows.join(many, "group").groupBy("group", "places", _place("places").alias("lo")).agg(F.min("key").alias("key")).groupBy("group", "places").agg(hubs.alias("first"))
+    many = written(low, "places")
+    if many.isEmpty():
+        forget(many)
+        alone = rows.withColumn("rank", F.lit(-1).cast("long")).withColumn("home", F.lit(True)).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
+        return _blocks(alone).mapInArrow(_within(relation), _SPAN).select("src", "dst")
+    alone = rows.join(many, "group", "left").withColumn("places", F.coalesce("places", F.lit(1)))
+    alone = alone.withColumn("rank", F.coalesce(F.array_position("first", F.col("key")) - 1, F.lit(-1)).cast("long")).drop("first")
+    alone = alone.withColumn("lo", _place("places")).withColumn("home", F.lit(True))
+    visits = alone.where("rank >= 0").withColumn("own", F.col("lo")).withColumn("lo", _every("places")).where("lo <> own").withColumn("home", F.lit(False)).select(*alone.columns)
+    found = written(_blocks(alone.unionAll(visits).drop("places").withColumn("hi", F.col("lo"))).mapInArrow(_within(relation), _SPAN), "span")
+    marked = found.where("dst is null").select("group", F.col("src").alias("key"), "hubs")
+    sums = F.array(*[F.sum(F.shiftright("hubs", k).bitwiseAND(1)) for k in range(HUBS)])
+    main = marked.groupBy("group").agg(sums.alias("s")).select("group", (F.array_position("s", F.array_max("s")) - 1).cast("int").alias("main"))
+    apart = written(marked.join(main, "group").where("(hubs & shiftleft(1L, main)) = 0").select("group", "key"), "apart")
+    links = found.where("dst is not null").select("src", "dst")
+    if apart.isEmpty():
+        return links
+    wide = rows.join(many.select("group"), "group", "left_semi")
+    open_ = wide.join(apart, ["group", "key"], "left_semi")
+    chunks = written(open_.groupBy("group").agg(_parts().alias("chunks")), "chunks")
+    rest = wide.join(chunks.select("group"), "group", "left_semi").join(apart, ["group", "key"], "left_anti")
+    sized = chunks.join(rest.groupBy("group").agg(_parts().alias("places")), "group")
+    theirs = rest.join(sized, "group").withColumn("lo", _place("places")).withColumn("hi", _every("chunks")).withColumn("open", F.lit(False))
+    mine = open_.join(sized, "group").withColumn("hi", _place("chunks")).withColumn("lo", _every("places")).withColumn("open", F.lit(True)).select(*theirs.columns)
+    over = _blocks(theirs.unionAll(mine).drop("places", "chunks")).mapInArrow(_across(relation), _SPAN)
+    among = in_blocks(open_, least).withColumn("rank", F.lit(-1).cast("long")).mapInArrow(_within(relation), _SPAN)
+    return links.unionAll(over.select("src", "dst")).unionAll(among.select("src", "dst"))
 
 
 def in_blocks(rows: DataFrame, least: int) -> DataFrame:
     """``rows`` (group, key, n, more) with lo and hi, sorted by block: every two rows of a group share a block. A group of at most ``least`` is one block; in a larger one each pair of places is a block."""
-    m, n = F.count(F.lit(1)), F.sum("n")
-    parts = F.greatest(F.least(F.ceil(m / least), F.lit(PLACES)), F.ceil(m / PLACE), F.ceil(n / PLACE_SHINGLES)).cast("int")
-    many = rows.groupBy("group").agg(parts.alias("places")).where("places > 1")
-    placed = rows.join(many, "group", "left").withColumn("places", F.coalesce("places", F.lit(1))).withColumn("lo", F.pmod(F.xxhash64("key"), F.col("places")).cast("int"))
+    many = rows.groupBy("group").agg(_parts(least).alias("places")).where("places > 1")
+    placed = rows.join(many, "group", "left").withColumn("places", F.coalesce("places", F.lit(1))).withColumn("lo", _place("places"))
     others = F.when(F.col("places") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("places") - 1), F.array("lo")))
     met = placed.withColumn("hi", F.explode(others)).withColumn("lo_", F.least("lo", "hi")).withColumn("hi", F.greatest("lo", "hi"))
     met = met.withColumn("lo", F.col("lo_")).drop("lo_", "places")
-    return met.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi")
+    return _blocks(met)
 
 
-def variants(values: np.ndarray, bits: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, node) of the balls of half the radius; ``values`` has a row per node, a column per table from ``first`` on, a slot is table and value."""
-    node, table = np.divmod(np.arange(values.size), values.shape[1])
-    slot = ((table + first) << bits) | values.ravel()
-    odd = np.bitwise_count(values.ravel().astype(_U)) % 2 == 1
-    turned = slot[odd][:, None] ^ (np.int64(1) << np.arange(bits, dtype=np.int64))[None, :]
-    return np.concatenate([slot[~odd], turned.ravel()]), np.concatenate([node[~odd], np.repeat(node[odd], bits)])
+def turned(low: np.ndarray, odd: np.ndarray, bits: int, cut: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, node) of the balls of half the radius, of values that are ``part`` above their lowest ``cut`` bits: odd nodes give all their neighbours in ``bits`` bits, the others themselves."""
+    values, who = [], []
+    for k in range(-1, bits):
+        node = np.flatnonzero(odd if k >= 0 else ~odd).astype(np.uint32)
+        value = low[node] ^ np.uint32(1 << k if k >= 0 else 0)
+        if part or cut < bits:
+            here = value >> np.uint32(cut) == part
+            value, node = value[here], node[here]
+        values.append(value)
+        who.append(node)
+    return np.concatenate(values), np.concatenate(who)
 
 
-_DEALT = "bucket long, keys binary, sizes binary, checks binary, slots binary, who binary, hot binary"
+_DEALT = "bucket long, keys binary, sizes binary, checks binary, lows binary"
 _MET = "slot long, key long, n long, " + ", ".join(f"c{k} long" for k in range(CHECKS)) + ", other long"
 _MARKS = [f"c{k}" for k in range(CHECKS)]
 
 
-def _emit(bits: int, tables: int, split: int, first: int, last: int):
-    """A row per batch and bucket of the tables from ``first`` to before ``last``: its nodes, and the variants by node. Buckets from ``tables << split`` on hold crowds' rows, in turns."""
-    deals = tables << split
+def _emit(bits: int, split: int, first: int, last: int):
+    """A row per batch and bucket of the tables from ``first`` to before ``last``: its nodes and the lower bits of their values. A bucket is a table and the ``split`` upper bits of a value; an odd value goes to its own and, with one of these bits turned, to ``split`` others."""
+    width = bits - split
 
-    def rows_of(keys, sizes, sketch, turn):
+    def rows_of(keys, sizes, sketch):
         flat = np.unpackbits(sketch, axis=1, bitorder="little")[:, bits * first : bits * last].reshape(len(keys), last - first, bits)
         checks = np.ascontiguousarray(sketch[:, -8 * CHECKS :]).view("<u8")
-        slot, who = variants((flat.astype(np.int64) << np.arange(bits, dtype=np.int64)).sum(2), bits, first)
-        order = np.argsort(slot, kind="stable")
-        slot, who = slot[order], who[order]
-        start = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-        size = np.diff(np.append(start, len(slot)))
-        hot = np.repeat(size > LOCAL_CROWD, size)
-        hot_slots = slot[start[size > LOCAL_CROWD]]
-        for crowd in (False, True):
-            own, mine = slot[hot == crowd], who[hot == crowd]
-            home = own >> (bits - split)
-            marks = hot_slots >> (bits - split)
-            for b in np.union1d(home, [] if crowd else marks).astype(np.int64).tolist():
-                lo, hi = np.searchsorted(home, [b, b + 1])
-                ids, inverse = np.unique(mine[lo:hi], return_inverse=True)
-                base = b << (bits - split)
-                marked = (hot_slots[marks == b] - base).astype("<u4")
-                yield (b + deals * (1 + turn % 16) if crowd else b, keys[ids].tobytes(), sizes[ids].astype("<u4").tobytes(), checks[ids].tobytes(), (own[lo:hi] - base).astype("<u4").tobytes(), inverse.astype("<u2").tobytes(), b"" if crowd else marked.tobytes())
+        value = (flat.astype(np.int64) << np.arange(bits, dtype=np.int64)).sum(2)
+        node, table = np.divmod(np.arange(value.size), value.shape[1])
+        slot = ((table + first) << bits) | value.ravel()
+        odd = np.flatnonzero(np.bitwise_count(value.ravel().astype(_U)) % 2 == 1)
+        slot, node = np.concatenate([slot, *(slot[odd] ^ (1 << k) for k in range(width, bits))]), np.concatenate([node, *[node[odd]] * split])
+        order = np.argsort(slot >> width, kind="stable")
+        slot, node = slot[order], node[order]
+        home = slot >> width
+        cuts = [*np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])).tolist(), len(home)]
+        low = (slot & ((1 << width) - 1)).astype("<u4")
+        for a, z in zip(cuts, cuts[1:]):
+            ids = node[a:z]
+            yield int(home[a]), keys[ids].tobytes(), sizes[ids].astype("<u4").tobytes(), checks[ids].tobytes(), low[a:z].tobytes()
 
     def run(batches):
-        held, count, turn = [], 0, 0
+        held, count = [], 0
 
         def dealt():
             got = pa.Table.from_batches(held)
             sketch = np.frombuffer(b"".join(got["sketch"].to_pylist()), np.uint8).reshape(got.num_rows, -1)
-            cols = list(zip(*rows_of(got["key"].to_numpy(), got["n"].to_numpy(), sketch, turn), strict=True))
+            cols = list(zip(*rows_of(got["key"].to_numpy(), got["n"].to_numpy(), sketch), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=[f.split()[0] for f in _DEALT.split(", ")])
 
         for b in batches:
@@ -317,7 +410,7 @@ def _emit(bits: int, tables: int, split: int, first: int, last: int):
                 count += held[-1].num_rows
                 if count >= BATCH // 2:
                     yield dealt()
-                    held, count, turn = [], 0, turn + 1
+                    held, count = [], 0
         if held:
             yield dealt()
         tidy()
@@ -331,27 +424,24 @@ def may_be_near(n: np.ndarray, checks: np.ndarray, a: np.ndarray, b: np.ndarray)
     return fits & (np.bitwise_count(checks[a] ^ checks[b]).sum(1, dtype=np.int64) <= np.where(least <= SMALL, FAR_SMALL, FAR))
 
 
-def _meet(bits: int, tables: int, split: int, crowd: int):
-    """Links to the smallest of the nodes that candidate pairs hang together (slot -1), and the members of crowds."""
-    deals = tables << split
+def _meet(bits: int, split: int, crowd: int, most: int):
+    """Links to the smallest of the nodes that candidate pairs hang together (slot -1), and the nodes of crowds that are not settled after ``most`` comparisons."""
+    width = bits - split
 
     def met(bucket: int, table: pa.Table) -> pa.RecordBatch:
         cat = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
-        keys, sizes, checks = cat("keys", "<i8"), cat("sizes", "<u4").astype(np.int64), cat("checks", "<u8").reshape(-1, CHECKS)
-        slots = cat("slots", "<u4").astype(np.int64) + ((bucket % deals) << (bits - split))
-        per = [len(x) // 8 for x in table["keys"].to_pylist()]
-        counts = [len(x) // 2 for x in table["who"].to_pylist()]
-        who = cat("who", "<u2").astype(np.int64) + np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), counts)
-        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        if bucket >= deals:
-            members = np.arange(len(slots))
-        else:
+        keys, sizes, checks, low = cat("keys", "<i8"), cat("sizes", "<u4").astype(np.int64), cat("checks", "<u8").reshape(-1, CHECKS), cat("lows", "<u4")
+        odd = (np.bitwise_count(low) + (bucket & ((1 << split) - 1)).bit_count()) % 2 == 1
+        count = int(odd.sum()) * (width - 1) + len(low)
+        upper = min(width, max(0, math.ceil(math.log2(max(1, count / TURNED_AT_ONCE)))))  # a bucket with a crowd is turned in parts
+        pairs, members = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for part in range(1 << upper):
+            slots, who = turned(low, odd, width, width - upper, part)
             order = np.argsort(slots, kind="stable")
             slots, who = slots[order], who[order]
             start = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else np.zeros(0, np.int64)
             size = np.diff(np.append(start, len(slots)))
-            large = (size > crowd) | np.isin(slots[start], cat("hot", "<u4").astype(np.int64) + (bucket << (bits - split)))
-            members = np.flatnonzero(np.repeat(large, size))
+            large = size > crowd
             for s in np.unique(size[~large & (size > 1)]).tolist():
                 i, j = np.triu_indices(s, 1)
                 runs = start[~large & (size == s)]
@@ -360,19 +450,25 @@ def _meet(bits: int, tables: int, split: int, crowd: int):
                     a, b = who[(some + i).ravel()], who[(some + j).ravel()]
                     ok = may_be_near(sizes, checks, a, b)
                     pairs.append((a[ok], b[ok]))
+            for at, s in zip(start[large].tolist(), size[large].tolist()):
+                own = who[at : at + s]
+                n, c = sizes[own], checks[own]
+                a, b, rest = _forest(s, lambda i, others, n=n, c=c: may_be_near(n, c, i, others), most)
+                pairs.append((own[a], own[b]))
+                members.append((own[rest], np.full(len(rest), (bucket << width) | int(slots[at]))))
         by_key = np.argsort(keys)
         rank = np.argsort(by_key)
         root = _smallest(len(keys), *(rank[np.concatenate(e)] for e in zip(*pairs, strict=True)))
         own = np.flatnonzero(root != np.arange(len(keys)))
         found = np.stack([keys[by_key[root[own]]], keys[by_key[own]]], 1)
-        m, node = len(members), who[members]
+        node, slot = (np.concatenate(e).astype(np.int64) for e in zip(*members, strict=True))
         zero = np.zeros(len(found), np.int64)
         cols = [
-            np.concatenate([zero - 1, slots[members]]),
+            np.concatenate([zero - 1, slot]),
             np.concatenate([found[:, 0], keys[node]]),
             np.concatenate([zero, sizes[node]]),
             *(np.concatenate([zero, checks[node, k].astype(np.int64)]) for k in range(CHECKS)),
-            np.concatenate([found[:, 1], np.zeros(m, np.int64)]),
+            np.concatenate([found[:, 1], np.zeros(len(node), np.int64)]),
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in _MET.split(", ")])
 
@@ -390,9 +486,9 @@ def _meet(bits: int, tables: int, split: int, crowd: int):
     return run
 
 
-def passes(rows: int, bits: int, tables: int, split: int) -> list[tuple[int, int]]:
-    """Runs of tables whose variants take at most ``PASS`` bytes a row, or one table."""
-    per = 3 * (bits + 1) + (2 + split) / 2 * (12 + 8 * CHECKS)
+def passes(tables: int, split: int) -> list[tuple[int, int]]:
+    """Runs of tables whose buckets take at most ``PASS`` bytes a row, or one table."""
+    per = (2 + split) / 2 * (16 + 8 * CHECKS)
     step = max(1, int(PASS / per))
     return [(k, min(tables, k + step)) for k in range(0, tables, step)]
 
@@ -404,9 +500,9 @@ def _met(nodes: DataFrame, rows: int) -> list[DataFrame]:
     split = min(bits - 1, max(0, math.ceil(math.log2(max(1, total / tables / VARIANTS_PER_BUCKET)))))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // BATCH))
     out = []
-    for first, last in passes(rows, bits, tables, split):
-        dealt = nodes.select("key", "n", "sketch").repartition(parts, "key").mapInArrow(_emit(bits, tables, split, first, last), _DEALT)
-        out.append(written(dealt.repartition("bucket").mapInArrow(_meet(bits, tables, split, CROWD), _MET), "met"))
+    for first, last in passes(tables, split):
+        dealt = nodes.select("key", "n", "sketch").repartition(parts, "key").mapInArrow(_emit(bits, split, first, last), _DEALT)
+        out.append(written(dealt.repartition("bucket").mapInArrow(_meet(bits, split, CROWD, COMPARED), _MET), "met"))
     return out
 
 
@@ -426,14 +522,14 @@ def near_links(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """src, dst: links that keep the components of near copies among the nodes (key, least, alike, n, sketch); ``docs`` (doc_id, key, text) has their texts."""
     met = _met(nodes, rows)
     every = reduce(DataFrame.unionAll, met)
-    crowd = in_blocks(every.where("slot >= 0").select(F.col("slot").alias("group"), "key", "n", *_MARKS), 1024)
-    alike = every.where("slot = -1").select(F.col("key").alias("src"), F.col("other").alias("dst")).unionAll(crowd.mapInArrow(_alike, "src long, dst long"))
+    crowd = spanned(every.where("slot >= 0").select(F.col("slot").alias("group"), "key", "n", *_MARKS), 1024, _by_marks)
+    alike = every.where("slot = -1").select(F.col("key").alias("src"), F.col("other").alias("dst")).unionAll(crowd)
     comp = connected_components(alike).select(F.col("id").alias("key"), F.col("comp").alias("group"))
     groups = written(comp.join(nodes.select("key", "n"), "key"), "groups")
     for part in met:
         forget(part)
     held = _held(docs, nodes, groups.select("key"))
-    links = written(in_blocks(groups.join(held, "key"), 256).mapInArrow(_near, "src long, dst long"), "links")
+    links = written(spanned(groups.join(held, "key"), 256, _by_sets), "links")
     forget(groups)
     forget(held)
     return links

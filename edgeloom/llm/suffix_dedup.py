@@ -51,6 +51,7 @@ WIDE = LENGTH + SPAN - 1  # bytes that an anchor's windows cover
 SEGMENT = 1 << 19
 CHUNK = 1 << 19
 BLOCK = 8000  # questions settled at a time
+ASKED = 100_000  # questions held before they are sent
 SLICE = 500  # rows turned into Python objects at a time
 _MAX = (1 << 63) - 1
 UNNAMED = 1 << 62  # ids of rows without doc_id begin here
@@ -244,7 +245,7 @@ def _share(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(cat(out_i, np.int64)), "hash": pa.array(cat(out_h, _U).view(np.int64))})
 
 
-_CANDIDATE = "kind int, id long, doc_id long, extra string, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, bucket long, ids binary, rks binary, places binary, masks binary, around binary, place long, mask long"
+_CANDIDATE = "kind int, id long, doc_id long, extra string, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, bucket long, ids binary, rks binary, places binary, masks binary, around binary"
 _FIELDS = [f.split() for f in _CANDIDATE.split(", ")]
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
@@ -255,10 +256,34 @@ def _rows(kind: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[f for f, _ in _FIELDS])
 
 
+_FOUND = "id long, rk long, places binary, masks binary"
+
+
+def _by_text(ids: np.ndarray, rks: np.ndarray, places: np.ndarray, masks: np.ndarray) -> dict[str, pa.Array]:
+    """A row for each text with all its places: a passage that stands in all documents costs no more rows than there are documents."""
+    order = np.lexsort((rks, ids))
+    ids, rks, places, masks = ids[order], rks[order], places[order].astype("<u4"), masks[order].astype("<i4")
+    cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rks[1:] != rks[:-1])])) if len(ids) else np.zeros(0, np.int64)
+    ends = list(zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]))
+    pack = lambda x: pa.array([x[a:z].tobytes() for a, z in ends], pa.binary())
+    return {"id": pa.array(ids[cut]), "rk": pa.array(rks[cut]), "places": pack(places), "masks": pack(masks)}
+
+
+def _questions(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """A row for each bucket."""
+    goes, ids, rks, places, masks, around = (np.concatenate(c) for c in zip(*held, strict=True))
+    by = np.argsort(goes, kind="stable")
+    goes = goes[by]
+    cut = np.flatnonzero(np.concatenate([[True], goes[1:] != goes[:-1]]))
+    pieces = [by[a:z] for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(goes)], strict=True)]
+    return _rows(1, bucket=goes[cut], **{f: [x[p].tobytes() for p in pieces] for f, x in (("ids", ids), ("rks", rks), ("places", places), ("masks", masks), ("around", around))})
+
+
 def _candidates(buckets: int, keep: bool):
     """Kinds of rows: 0 finished documents, 1 questions, 2 places found, 3 documents that wait for places."""
 
     def run(batches):
+        held, count = [], 0
         for batch in _slices(batches):
             texts, ids, rks = _raw(batch), batch["id"].to_numpy(), batch["rk"].to_numpy()
             docs, copies, hits, extra = batch["doc_id"].to_pylist(), batch["copies"].to_pylist(), batch["hashes"], batch["extra"].to_pylist()
@@ -309,7 +334,7 @@ def _candidates(buckets: int, keep: bool):
                 found = (beaten * bits).sum(1, dtype=np.int32)
                 local = at - chunk.starts[seg] + chunk.base[seg]
                 if found.any():
-                    yield _rows(2, id=ids[owner[found > 0]], rk=rks[owner[found > 0]], place=local[found > 0], mask=found[found > 0])
+                    yield _rows(2, **_by_text(ids[owner[found > 0]], rks[owner[found > 0]], local[found > 0], found[found > 0]))
                 asks = ((own & ~beaten) * bits).sum(1, dtype=np.int32)
                 del starts, own, beaten, number, lost, near, step
                 ask = np.flatnonzero(asks)
@@ -320,20 +345,13 @@ def _candidates(buckets: int, keep: bool):
                 around[(spot < begin[ask, None]) | (spot >= end[ask, None])] = 0
                 del spot
                 goes = (hashes[ask] % _U(buckets)).astype(np.int64)
-                by = np.argsort(goes, kind="stable")
-                goes, ask, around = goes[by], ask[by], around[by]
-                cut = np.flatnonzero(np.concatenate([[True], goes[1:] != goes[:-1]]))
-                ends = [*cut[1:].tolist(), len(goes)]
-                pieces = [ask[a:z] for a, z in zip(cut.tolist(), ends, strict=True)]
-                yield _rows(
-                    1,
-                    bucket=goes[cut],
-                    ids=[ids[owner[p]].tobytes() for p in pieces],
-                    rks=[rks[owner[p]].tobytes() for p in pieces],
-                    places=[local[p].astype(np.uint32).tobytes() for p in pieces],
-                    masks=[asks[p].astype(np.int32).tobytes() for p in pieces],
-                    around=[around[a:z].tobytes() for a, z in zip(cut.tolist(), ends, strict=True)],
-                )
+                held.append((goes, ids[owner[ask]], rks[owner[ask]], local[ask].astype(np.uint32), asks[ask].astype(np.int32), around))
+                count += len(ask)
+                if count >= ASKED:
+                    yield _questions(held)
+                    held, count = [], 0
+        if held:
+            yield _questions(held)
         tidy()
 
     return run
@@ -367,7 +385,7 @@ def _digest(rows: np.ndarray) -> np.ndarray:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """id, rk, place, mask: windows of the questions that a smaller document also has.
+    """id, rk, places, masks: windows of the questions that a smaller document also has, a row for each text.
 
     Only questions with one anchor can meet, so they are settled in blocks
     that end where an anchor does.
@@ -384,7 +402,7 @@ def _answer(table: pa.Table) -> pa.Table:
             out[some] = _settled(ids[some], masks[some], around[some])
         at = end
     hit = out > 0
-    found = pa.table({"id": pa.array(ids[hit]), "rk": pa.array(rks[hit]), "place": pa.array(places[hit].astype(np.int64)), "mask": pa.array(out[hit].astype(np.int64))})
+    found = pa.table(_by_text(ids[hit], rks[hit], places[hit], out[hit]))
     del around, order, start
     tidy()
     return found
@@ -424,9 +442,8 @@ def _cut(keep: bool):
                 for i, (doc, extra, rk, raw) in enumerate(zip(part["doc_id"].to_pylist(), part["extra"].to_pylist(), part["rk"].to_pylist(), _raw(part, "kept"), strict=True)):
                     step = np.zeros(len(raw) + 1, np.int64)
                     if marks[i].is_valid:
-                        found = marks[i].values
-                        mine = found.field("rk").to_numpy(zero_copy_only=False) == rk
-                        place, mask = found.field("place").to_numpy(zero_copy_only=False)[mine], found.field("mask").to_numpy(zero_copy_only=False)[mine]
+                        mine = [f for f in marks[i].as_py() if f["rk"] == rk]
+                        place, mask = np.frombuffer(b"".join(f["places"] for f in mine), "<u4").astype(np.int64), np.frombuffer(b"".join(f["masks"] for f in mine), "<i4")
                         row, bit = np.nonzero((mask[:, None] >> np.arange(SPAN)[None, :]) & 1)
                         start = np.unique(place[row] - (SPAN - 1) + bit)
                         step[start] += 1
@@ -472,9 +489,9 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True, extra: list[str] |
     joined = base.withColumn("rk", F.xxhash64("id", "text")).join(info, "id", "left").select("doc_id", "id", "rk", "text", "extra", "hashes", "copies")
     rows = written_by_key(joined.mapInArrow(_candidates(meetings, keep_bytes), _CANDIDATE), "id", int(spark.conf.get("spark.sql.shuffle.partitions")), "candidates")
     asked = rows.where("kind = 1").select("bucket", "ids", "rks", "places", "masks", "around")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "id long, rk long, place long, mask long")
-    marks = answers.unionByName(rows.where("kind = 2").select("id", "rk", "place", "mask"))
-    marks = written(marks.groupBy("id").agg(F.collect_list(F.struct("rk", "place", "mask")).alias("marks")), "marks")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, _FOUND)
+    marks = answers.unionByName(rows.where("kind = 2").select("id", "rk", "places", "masks"))
+    marks = written(marks.groupBy("id").agg(F.collect_list(F.struct("rk", "places", "masks")).alias("marks")), "marks")
     cols = ["doc_id", "extra", "rk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     cut = rows.where("kind = 3").select("id", "doc_id", "extra", "rk", "kept").join(marks, "id", "left").select("doc_id", "extra", "rk", "kept", "marks")
     cut = cut.mapInArrow(_cut(keep_bytes), "doc_id long, extra string, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
