@@ -115,7 +115,7 @@ def test_a_common_passage_costs_a_row_a_text(spark, monkeypatch):
 
 
 def test_marks_that_differ_in_their_highest_bit():
-    """Counted as signed numbers they differed in 64 bits a word."""
+    """Counted as signed numbers, words that differ in all 64 bits differed in one."""
     marks = {c: [7, 7 - (1 << 63)] for c in near_copies._MARKS}
     near = near_copies._by_marks(pa.table({"n": [100, 100], **marks}))
     assert near(0, np.array([1])).tolist() == [True]
