@@ -385,7 +385,7 @@ def _digest(rows: np.ndarray) -> np.ndarray:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """id, rk, places, masks: windows of the questions that a smaller document also has, a row for each text.
+    """id, rk, places, masks: windows of the questions that a smaller document also has, a row for each place: texts have few places in one bucket, and the fewer the more buckets there are.
 
     Only questions with one anchor can meet, so they are settled in blocks
     that end where an anchor does.
@@ -402,7 +402,8 @@ def _answer(table: pa.Table) -> pa.Table:
             out[some] = _settled(ids[some], masks[some], around[some])
         at = end
     hit = out > 0
-    found = pa.table(_by_text(ids[hit], rks[hit], places[hit], out[hit]))
+    each = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(4), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+    found = pa.table({"id": pa.array(ids[hit]), "rk": pa.array(rks[hit]), "places": each(places[hit].astype("<u4")), "masks": each(out[hit].astype("<i4"))})
     del around, order, start
     tidy()
     return found
